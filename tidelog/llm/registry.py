@@ -23,6 +23,17 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(langid.sample(docs))
+    rows = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.classify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import mixing
 
