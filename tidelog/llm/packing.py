@@ -139,6 +139,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if capacity > 1 << 16:
         raise ValueError("the supersteps' state is bounded by the capacity; 65536 at most")
     keys = ["doc_id", "piece", "start"]
+    cut = written(cut, "pieces")  # range bounds are sampled from it, so it is read twice
     ordered = cut.repartitionByRange(tasks(spark), F.col("length").desc(), F.xxhash64(*keys), *keys).sortWithinPartitions(F.col("length").desc(), F.xxhash64(*keys), *keys)
     ordered = ordered.checkpoint()  # fixes each row's partition and place in it
     at = ordered.withColumn("_at", F.monotonically_increasing_id())
