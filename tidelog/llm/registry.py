@@ -34,6 +34,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import hmm
+
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import mixing
 

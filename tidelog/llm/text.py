@@ -75,9 +75,9 @@ def _cut(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
     return edge
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and for each text the index of its first word (one more at the end)."""
-    parts, places, n, a = [], [], len(data), 0
+def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, shapes: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash of every word, and for each text the index of its first word (one more at the end); with `shapes`, also each word's last two bytes and length class as one number."""
+    parts, places, shape, n, a = [], [], [], len(data), 0
     while a < n:
         b = _cut(data, offsets, a + SEGMENT)
         seg = data[a:b]
@@ -91,17 +91,22 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
         stop[:-1] &= ~word[1:] | edge[1:-1]
         s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
         if len(s):
-            value = (_LOWER[seg] if lower else seg).astype(np.uint64) + np.uint64(1)
+            small = _LOWER[seg] if lower else seg
+            value = small.astype(np.uint64) + np.uint64(1)
             value *= _power(_BASE, len(seg))[: len(seg)]
             total = np.zeros(len(seg) + 1, np.uint64)
             np.cumsum(value, out=total[1:])
             h = (total[e] - total[s]) * _power(_BASE_INV, len(seg))[s]
             parts.append(mix(h + (e - s).astype(np.uint64)))
             places.append(s + a)
+            if shapes:
+                last, other = small[e - 1].astype(np.int32), small[np.maximum(e - 2, s)].astype(np.int32)
+                shape.append((np.minimum((e - s) >> 2, 3).astype(np.int32) << 16) | (other << 8) | last)
         a = b
     h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     p = np.concatenate(places) if places else np.zeros(0, np.int64)
-    return h, np.searchsorted(p, offsets)
+    first = np.searchsorted(p, offsets)
+    return (h, first, np.concatenate(shape) if shape else np.zeros(0, np.int32)) if shapes else (h, first)
 
 
 def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
