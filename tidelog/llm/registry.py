@@ -40,6 +40,12 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import partenum
+
+    return partenum.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("cls")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import mixing
 
