@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelog.llm.cluster import table
 
 
+def op1_mih_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tidelog.llm import mih
+
+    return mih.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import simhash
 
