@@ -37,6 +37,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def _op5_sql() -> str:
+    """Containment of every template in every window, without signatures."""
+    from tidelog.llm import licenses
+
+    rows = []
+    for name, text in sorted(licenses.NOTICES.items()):
+        w = licenses.words_of(text)
+        items = sorted({" ".join(w[i : i + licenses.WIDTH]) for i in range(max(1, len(w) - licenses.WIDTH + 1))})
+        rows += [f"('{name}', '{x}', {len(items)})" for x in items]
+    return f"""
+WITH t(license, item, m) AS (VALUES {", ".join(rows)}),
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(0, greatest(1, len(w) - 2))) AS i, w FROM w WHERE len(w) > 0),
+g AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS item FROM s),
+h AS (SELECT g.doc_id, t.license, t.m, g.item, g.i FROM g JOIN t USING (item)),
+b AS (SELECT doc_id, license, m, item, i // m * m AS word FROM h UNION ALL SELECT doc_id, license, m, item, (i // m - 1) * m FROM h WHERE i >= m),
+c AS (SELECT doc_id, license, word, count(DISTINCT item) / m::DOUBLE AS containment FROM b GROUP BY doc_id, license, m, word)
+SELECT doc_id, license, max(containment) AS containment, count(*) AS windows, arg_max(word, (containment, -word)) AS word
+FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -109,4 +137,4 @@ FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN b ON d.source IS NO
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op5_licenses": _op5_sql(), "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
