@@ -94,7 +94,7 @@ def thresholds(sized: DataFrame, by_source: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: `id_col`, the columns of `keep`, size, source_size, target, taken (tokens the mix takes, repeats counted)."""
+    """One row a document: `id_col`, the columns of `keep`, size, source_size, target, taken (tokens the mix takes, repeats counted), times (how often the document is taken)."""
     spark = docs.sparkSession
     # Sources are told apart by a string that no source can equal, so that null joins too and sorts last.
     source = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string")))
@@ -106,5 +106,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), id_col: s
     state = thresholds(slim, written(targets(by_source, weights), "mix-targets"))
     few = state.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     out = sized.join(F.broadcast(state) if few else state, "_mix_source")
-    times = F.col("_whole") + F.when(F.col("_place") < F.col("_below"), 1).otherwise(0)
-    return out.select(id_col, *keep, "size", "source_size", "target", (F.least(times, F.lit(MOST)) * F.col("size")).cast("long").alias("taken"))
+    times = F.least(F.col("_whole") + F.when(F.col("_place") < F.col("_below"), 1).otherwise(0), F.lit(MOST))
+    return out.select(id_col, *keep, "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("int").alias("times"))

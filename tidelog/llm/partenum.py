@@ -34,7 +34,7 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
@@ -147,17 +147,21 @@ def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def text_id(text: Column) -> Column:
+    return F.xxhash64(text.cast("string")).alias("text_id")
+
+
 def classified(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, cls of the columns doc_id and text."""
+    """doc_id, text_id (a hash of the text), n_shingles, cls of the columns doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = words.buffers(batch.column(1))
             for a, b in _chunks(data, offsets):
                 sets = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(class_of(sets))], ["doc_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(class_of(sets))], ["doc_id", "text_id", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", "text", text_id(F.col("text"))).mapInArrow(run, "doc_id long, text_id long, n_shingles long, cls long")
 
 
 def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -312,11 +316,25 @@ def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, cls (its class of equal sets), component_id (the least id that links reach, its own included)."""
+    """One row a document: doc_id, text_id, n_shingles, cls (its class of equal sets), component_id (the least id that links reach, its own included)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     classes = written(classified(rows, width), "join-classes")
     roots = components_of(links(rows, classes, width, num, den))
     named = _labelled(classes.where("cls <> 0"), roots)
     least = named.groupBy("lab").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "lab").select("doc_id", "n_shingles", "cls", "component_id")
-    return linked.union(classes.where("cls = 0").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
+    linked = named.join(least, "lab").select("doc_id", "text_id", "n_shingles", "cls", "component_id")
+    return linked.union(classes.where("cls = 0").select("doc_id", "text_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
+
+
+def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less all but one document of each component: the one with the least id (and text hash) stays.
+
+    Documents without words are in no group and stay. Of rows that repeat both id and
+    text one stays.
+    """
+    found = written(components(docs, width, num, den, id_col, text_col), "join-components")
+    first = found.where("cls <> 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_id")).alias("k")).select("k.doc_id", "k.text_id")
+    kept = first.union(found.where("cls = 0").select("doc_id", "text_id")).distinct().toDF("_kept_id", "_kept_text")
+    rows = docs.withColumns({"_kept_id": F.col(id_col).cast("long"), "_kept_text": text_id(F.col(text_col))})
+    on = rows["_kept_id"].eqNullSafe(kept["_kept_id"]) & (rows["_kept_text"] == kept["_kept_text"])
+    return rows.join(kept, on, "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(*docs.columns)

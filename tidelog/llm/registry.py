@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -85,13 +86,13 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import partenum
 
-    return partenum.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("cls")
+    return partenum.components(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("cls", "text_id")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import mixing
 
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("times")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +111,14 @@ FROM q
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if callable(v) and (k == "pipeline" or re.match(r"op\d", k))}
 
 
 OP9_SQL = r"""
