@@ -1 +1 @@
-"""tidelog: a durable message log expressed as Spark DataFrames."""
+"""tidelog: a message log expressed as Spark DataFrames."""
