@@ -1,0 +1,457 @@
+"""Each operator against a plain version of itself, with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import io
+import random
+import re
+import struct
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidelog.llm import hmm, html, langid, licenses, mih, mixing, packing, partenum, simhash, warc
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def documents(spark, rows):
+    """Documents with columns whose names clash with those of results."""
+    full = [(i, t, lang, source, len(t or ""), 1, "x") for i, t, lang, source in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, size int, cls string")
+
+
+def corpus(n=60, seed=5):
+    rng = random.Random(seed)
+    vocabulary = {"en": "the of and house river walking stone light".split(), "de": "der die und haus fluß gehen stein licht".split()}
+    rows = []
+    for i in range(n):
+        lang = rng.choice(["en", "de"])
+        rows.append((i, " ".join(rng.choice(vocabulary[lang]) + rng.choice(["", "", "er", "en"]) for _ in range(rng.randint(5, 120))), lang, rng.choice(["a", "b", None, "hot", "hot"])))
+    base = rows[3][1] + " " + rows[4][1] + " " + rows[5][1]
+    rows += [(n, None, None, None), (n + 1, "", "en", "a"), (n + 2, " \t\n", "en", "a"), (n + 3, "one", "en", "b"), (n + 4, "12 34", None, "b"), (None, "no id at all here", "en", "a")]
+    rows += [(n + 5, base, "en", "a"), (n + 6, base + " tail", "en", "a"), (n + 7, base, "de", "b"), (n + 8, "start " + base.upper(), "en", "hot"), (0, rows[0][1], rows[0][2], rows[0][3]), (n + 9, "long " * 20000, "en", "b")]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return documents(spark, corpus()).repartition(5).cache()
+
+
+# 1
+
+
+def test_search(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))
+    x[50:90] = x[0]
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(1000, None, 1), (1001, [0.0] * 16, 1), (1002, [float("nan")] + [1.0] * 15, 1), (1003, [1.0] * 3, 1), (1004, [None] + [1.0] * 15, 1), (None, x[1].tolist(), 1), (7, x[7].tolist(), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = collections.defaultdict(list)
+    for r in mih.search(df, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 900, 20):
+        s = (x * x[q]).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:20]
+        hits += len({v for v, _ in got[q]} & set(order))
+        assert all(abs(s[v] - sc) < 1e-12 for v, sc in got[q]) and q not in [v for v, _ in got[q]]
+        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0]))
+    assert hits / (45 * 20) >= 0.9
+    assert [v for v, _ in got[0]][:20] == sorted(range(50, 70)) or s[0] < 0  # ties of equal vectors go to the smallest ids
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    assert mih.search(few, F.col("vec_id") % 20 == 0).count() == 4
+    assert mih.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_radii_are_pigeonholes():
+    for radius in range(0, 60):
+        for tables in (4, 16):
+            assert (mih.radii(radius, tables) + 1).sum() == radius + 1
+
+
+# 2
+
+
+def test_simhash(spark, docs):
+    rows = sorted(((r[0], r[1] or "") for r in corpus()), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = simhash.compare(docs).collect()
+    assert len(got) == len(rows)
+    texts = [t for _, t in rows]
+    prints = simhash.fingerprints([t.encode() for t in texts])
+    want = []
+    for k, (i, t) in enumerate(rows):
+        new = simhash.edited(t, texts[(k + 1) % len(texts)])
+        f = simhash.fingerprints([new.encode()])
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), prints[k].tobytes().hex(), f[0].tobytes().hex(), float(simhash.likeness(prints[k][None], f)[0]), float(simhash.likeness(prints[k][None], prints[(k + 1) % len(texts)][None])[0])))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert simhash.compare(docs.limit(0)).count() == 0
+    assert simhash.compare(docs.where("doc_id = 5")).first()["near_next"] == 1.0
+
+
+def test_simhash_counts_votes():
+    texts = [b"a b c d e f g", b"", b"one", b"x " * 300000]
+    whole = simhash.fingerprints(texts)
+    assert not whole[1].any() and (whole == np.concatenate([simhash.fingerprints([t]) for t in texts])).all()
+
+
+def test_simhash_links(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, 16, dtype=np.uint8)
+    near = base.copy()
+    near[3] ^= 0b101
+    other = rng.integers(0, 256, 16, dtype=np.uint8)
+    df = spark.createDataFrame([(1, base.tobytes().hex()), (2, near.tobytes().hex()), (3, base.tobytes().hex()), (4, other.tobytes().hex())], "doc_id long, fingerprint string")
+    assert [tuple(r) for r in simhash.links(df, radius=3, blocks=8).collect()] == [(1, 2, 2)]
+
+
+# 3
+
+
+def test_html():
+    w = html.fit(html.labelled())
+    wrong = 0
+    for page, _ in html.labelled(150, seed=99):
+        want = [x for p in html.pieces(page) if p[0] == "text" and "zq" in p[1] for x in p[1].split()]
+        wrong += html.extract(page, w).split() != want
+    assert wrong <= 4
+    page = '<html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href=/>Home</a></nav><!-- ad --><div class="ad">Buy it now</div><article><h1>A  &amp; B</h1><p><b>First words of the article are here<br><p>Second &lt;part&gt;\n of the text</p></article><section class=comments><p>nice one, thanks a lot for all of this</p></section><footer>&copy; all</footer>'
+    assert html.extract(page, w) == "A & B\nFirst words of the article are here\nSecond <part> of the text"
+    assert html.extract("", w) == "" and html.extract("plain words only and more of them", w) == "plain words only and more of them" and html.extract("<p>" * 500 + "<script>x", w) == ""
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (2, None, "<article><p>x y z and more words", 2)], "page_id long, url string, html string, text int")
+    got = sorted(map(tuple, html.main_text(df).collect()))
+    assert got == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "x y z and more words", 20)]
+
+
+@given(st.lists(st.integers(-5, 5), max_size=12))
+def test_best_run(scores):
+    a, b = html.best_run(scores)
+    best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)), default=0)
+    assert sum(scores[a:b]) == max(best, 0)
+
+
+# 4
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_plan_is_best_fit(counts):
+    steps = packing.plan(counts, 40)
+    total, place, filled = sum(counts.values()), 0, collections.defaultdict(list)
+    lengths = [n for n in sorted(counts, reverse=True) for _ in range(counts[n])]
+    for (r, s, o), following in zip(steps, [*[x[0] for x in steps[1:]], total]):
+        for rank in range(r, following):
+            filled[s + rank - r].append((o, lengths[rank]))
+            place += 1
+    assert place == total
+    for parts in filled.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 40
+    gaps = []  # best-fit decreasing, one by one; supersteps open a length's sequences together, which may differ a little
+    for n in lengths:
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - n)
+        else:
+            gaps.append(40 - n)
+    assert len(filled) <= len(gaps) * 11 / 9 + 1
+
+
+def test_pack(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    extra = documents(spark, [(900, "<|endoftext|> it's  12 ,,, \n\n x", "en", "a")])
+    rows = packing.pack(packing.pieces(docs.union(extra), path, 128), 128).collect()
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 128
+    want = []
+    for i, x, *_ in [*corpus(), (900, "<|endoftext|> it's  12 ,,, \n\n x", 0, 0)]:
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 0]
+        n = len(ids)
+        first = n if n <= 128 else n % 128 or 128
+        cuts = [0, *range(first, n + 1, 128)]
+        want += [(i, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted(map(repr, (tuple(r)[:5] for r in rows))) == sorted(map(repr, want))
+    assert len(by) <= -(-sum(r["length"] for r in rows) // 128) + 2
+    assert packing.pack(packing.pieces(docs.limit(0), path)).count() == 0
+
+
+# 5
+
+
+def test_licenses(spark):
+    mit = licenses.NOTICES["mit"]
+    changed = " ".join(w if k % 40 else "CHANGED" for k, w in enumerate(mit.split()))
+    filler = "some other words that say nothing of the kind " * 30
+    rows = [(1, None), (2, ""), (3, filler + mit + filler), (4, "All rights reserved."), (5, "all RIGHTS -- reserved"), (6, filler + changed), (7, "rights reserved"), (8, "Licensed under CC BY-NC 4.0."), (9, filler), (3, filler + mit + filler)]
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in licenses.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, m int")).collect()}
+    assert set(got) == {(3, "mit"), (4, "all-rights-reserved"), (5, "all-rights-reserved"), (6, "mit"), (8, "cc-by-nc-4.0-line")}
+    assert got[3, "mit"] == 1.0 and 0.8 <= got[6, "mit"] < 1
+
+
+# 6
+
+
+def test_langid(spark, docs):
+    model = langid.fit(langid.sample(docs))
+    assert model.languages == ["de", "en"]
+    out = langid.classify(docs, model, names=("lang_pred", "score", "accepted")).collect()
+    good = [r for r in out if r["lang"] and len(r["text"] or "") > 60 and r["doc_id"] is not None and r["doc_id"] < 60]
+    assert sum(r["lang"] == r["lang_pred"] for r in good) / len(good) > 0.95
+    for r in out:
+        letters = any(c.isalpha() for c in r["text"] or "")
+        assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1 and (letters or not r["accepted"])
+    assert langid.predict(langid.fit({"en": ["a"]}), ["b", None, "1"])[0] == ["en", "und", "und"]
+    empty = langid.sample(docs.limit(0))
+    assert empty == {}
+
+
+def test_langid_is_a_distribution():
+    model = langid.fit({"en": ["the river and the stone " * 20, "walking by the house", "light and stone", "and so on"], "de": ["der fluß und der stein " * 20, "licht und haus", "gehen", "und so"]})
+    symbols = [int(s) for s in np.unique(model.letters) if s and s != model.letters[ord(langid.START)]]
+    for context in ("th", "ß u", "zz"):
+        head = langid.lines([context])
+        rows = np.stack([langid._logs(model, np.append(model.letters[head], np.uint8(s)))[-1] for s in [0, *symbols]])
+        assert np.all(np.exp(rows).sum(axis=0) <= 1 + 1e-4) and np.all(np.exp(rows).sum(axis=0) > 0.95)
+
+
+def test_langid_pieces_add_up(monkeypatch):
+    model = langid.fit({"en": ["the river and the stone"] * 4, "de": ["der fluß und der stein"] * 4})
+    texts = ["the stone " * 50, "x", "", "der stein"]
+    whole = langid.totals(model, texts)
+    monkeypatch.setattr(langid, "CHUNK", 37)
+    parts = langid.totals(model, texts)
+    assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
+# 7
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(4)
+    h, m = 2, 4
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(h), 0), norm(rng.random((h, h)), 1), norm(rng.random((m, h)), 0))
+    texts = [np.array(x, np.int32) for x in ([0, 1, 2, 3, 1], [3, 3], [2])]
+    from itertools import product
+
+    start, move, emit = np.zeros(h), np.zeros((h, h)), np.zeros((m, h))
+    for k, x in enumerate(texts):
+        paths = {p: np.prod([model.start[p[0]] if t == 0 else model.move[p[t - 1], p[t]] for t in range(len(x))]) * np.prod([model.emit[s, q] for s, q in zip(x, p)]) for p in product(range(h), repeat=len(x))}
+        total = sum(paths.values())
+        assert np.isclose(hmm.forward(model, [x])[0], np.log10(total))
+        for p, v in paths.items():
+            start[p[0]] += v / total
+            for t in range(len(x)):
+                emit[x[t], p[t]] += v / total
+                if t:
+                    move[p[t - 1], p[t]] += v / total
+    got = hmm.expected(model, texts)
+    assert np.allclose(got[0], start) and np.allclose(got[1], move) and np.allclose(got[2], emit)
+    before = got[3]
+    better = hmm.Model(got[0] / got[0].sum(), got[1] / got[1].sum(axis=1, keepdims=True), got[2] / got[2].sum(axis=0))
+    assert hmm.expected(better, texts)[3] >= before
+
+
+def test_lm_scores(spark, docs, monkeypatch):
+    monkeypatch.setattr(hmm, "HEAD", 24)
+    monkeypatch.setattr(hmm, "OWN", 10)
+    rows = corpus()
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
+    tokens = lambda t: [*WORD.findall((t or "").translate(LOWER)), None]
+    c = collections.Counter(w for i, t, *_ in rows if not out(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = []
+    for i, t, *_ in rows:
+        x = tokens(t)
+        want.append((str(i), out(i), len(x), sum(c[w] > 0 for w in x), n, round(sum(np.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), 6)))
+    got = hmm.score(docs).collect()
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == sorted(want)
+    kept = [r for r in got if r["held_out"]]
+    assert sum(r["score"] for r in kept) > sum(r["base_score"] for r in kept) and all(r["score"] <= 0 for r in got)
+    assert hmm.score(docs.limit(0)).count() == 0
+
+
+# 8
+
+
+def brute(rows, width, num, den):
+    sets = {}
+    for k, (_, t) in enumerate(rows):
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[k] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                parent[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return sorted((str(i), len(sets[k]), str(least.get(find(k)))) for k, (i, _) in enumerate(rows))
+
+
+def test_join(spark, docs):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(r[0], r[1]) for r in corpus()]
+    for f in range(6):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 9, 12, 40, 150]))]
+        for _ in range(14):
+            x = list(base)
+            for _ in range(rng.randint(0, max(1, len(x) // 25))):
+                x[rng.randrange(len(x))] = rng.choice(words)
+            rows.append((1000 + len(rows), " ".join(x)))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_shingles int").repartition(7)
+    for width, num in ((3, 90), (5, 80), (1, 60)):
+        got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in partenum.components(df, width, num, 100).collect())
+        assert got == brute(rows, width, num, 100)
+    kept = partenum.representatives(df, 5, 80, 100)
+    assert kept.columns == df.columns
+    want = brute(rows, 5, 80, 100)
+    groups = {c for _, n, c in want if n}
+    assert kept.count() == len(groups) + len({(i, t) for i, t in rows if not WORD.findall(t or "")})
+    assert partenum.components(df.limit(0)).count() == 0 and partenum.representatives(df.limit(0)).count() == 0
+
+
+@given(st.integers(0, 2**32), st.integers(1, 60), st.integers(0, 8), st.sampled_from([(90, 100), (80, 100)]))
+@settings(max_examples=150, deadline=None)
+def test_linked_sets_share_what_they_should(seed, n, change, gamma):
+    rng = np.random.default_rng(seed)
+    num, den = gamma
+    a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    drop = rng.integers(0, change + 1)
+    b = np.unique(np.r_[a[min(drop, len(a) - 1) :], rng.integers(0, 2**63, change - drop).astype(np.uint64)])
+    both = len(np.intersect1d(a, b))
+    if den * both < num * (len(a) + len(b) - both):
+        return
+    s, i, ask = partenum.signatures([a, b], num, den)
+    shared = np.intersect1d(s[i == 0], s[i == 1])
+    needs = [ask[(i == k) & np.isin(s, shared)] // 2 for k in (0, 1)]
+    assert len(shared) and all(len(shared) >= x.max() for x in needs)
+    x, y = (np.frombuffer(partenum.sketch(z), np.uint64)[None] for z in (a, b))
+    w = min(x.shape[1], y.shape[1])
+    assert np.bitwise_count(partenum._folded(x, w) ^ partenum._folded(y, w)).sum() <= len(a) + len(b) - 2 * both
+
+
+# 9
+
+
+def test_mixing(spark, docs):
+    rows = corpus()
+    got = mixing.mix(docs, keep=("text",)).collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(WORD.findall(t or ""))
+    by = collections.Counter()
+    for _, t, _, s in rows:
+        by[s] += size(t)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1.0 for k, s in enumerate(order)}
+    target, capped = {}, set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = sum(by.values()) - sum(3.0 * by[s] for s in capped)
+        target = {s: 3.0 * by[s] if s in capped else left * weight[s] / sum(weight[x] for x in free) for s in order}
+        over = {s for s in free if target[s] > 3 * by[s]}
+        if not over:
+            break
+        capped |= over
+    source = {(i, t): s for i, t, _, s in rows}
+    taken, largest = collections.Counter(), collections.Counter()
+    for r in got:
+        s = source[r["doc_id"], r["text"]]
+        assert r["size"] == size(r["text"]) and r["source_size"] == by[s] and np.isclose(r["target"], target[s])
+        assert r["taken"] == r["times"] * r["size"] and 0 <= r["times"] <= 3
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"] * (2 if r["doc_id"] == 0 else 1))
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in order)
+    assert sorted(map(repr, mixing.mix(docs.repartition(3), keep=("text",)).collect())) == sorted(map(repr, got))
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+# 10
+
+
+def test_warc(spark):
+    long = "é" * 200000
+    rows = [(3, "u\r\nx", "a" * 100), (1, None, "a" * 100), (2, "u", "a" * 100), (4, "u", None), (5, "u", ""), (6, "u", "b" * 99), (7, "u", "b" * 99), (8, "u", long), (1, None, "a" * 100), (9, "u", long)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, payload_bytes int").repartition(3)
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.round_trip(df).collect())
+    want = []
+    for i, _, h in rows:
+        p = (h or "").encode()
+        first = min(j for j, _, g in rows if (g or "") == (h or ""))
+        again = len(p) >= 100 and i != first
+        want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert got == sorted(want, key=lambda r: r[:2])
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_frames_and_checks():
+    import zstandard
+
+    trained = zstandard.train_dictionary(1024, [f"record {i} with some common text {i % 7}".encode() * 3 for i in range(200)]).as_bytes()
+    for dictionary in (b"", trained):
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor()
+        raw = [warc.record(1, "u", b"x" * 70000, None), warc.record(2, "u", b"x", 1)]
+        archive = warc.leading_frame(dictionary) + b"".join(map(c.compress, raw))
+        assert list(warc.records(io.BytesIO(archive))) == raw
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(archive[:-3])))
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(b"12345678")))
+    good = warc.record(1, "u", b"payload", None)
+    assert warc.parse(good)["payload_bytes"] == 7
+    for bad in (good.replace(b"payload\r", b"pAyload\r"), good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"WARC-Date", b"WARC-Dote")):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+
+
+# the pipeline
+
+
+def test_pipeline(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    one = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = p.language(spark, one, str(tmp_path))
+    assert kept.columns == one.columns and not kept.where("text is null or trim(text) = ''").count()
+    unique = p.near_duplicates(spark, kept, str(tmp_path))
+    assert sorted(r["component_id"] for r in partenum.components(unique).collect() if r["component_id"] is not None) == sorted(r["doc_id"] for r in unique.collect() if r["doc_id"] is not None)
+    mixed = p.mixture(spark, unique, str(tmp_path))
+    want = collections.Counter({(r["doc_id"], r["text"]): r["times"] for r in mixing.mix(unique, keep=("text",)).collect() if r["times"]})
+    assert collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == want and mixed.columns == one.columns
+    packed = p.run(spark, str(tmp_path))
+    assert packed.agg(F.sum("length")).first()[0] == packing.pieces(mixed, __import__("public_tokenizers").path("byte_bpe_50k.json")).agg(F.sum("length")).first()[0]
