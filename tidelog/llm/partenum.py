@@ -7,16 +7,18 @@ difference is at most k, so if the feature domain is cut into parts, few parts d
 
 - up to k = SMALL, the domain is cut into k + max(2, k) parts, and each choice of all but
   k of them is a signature; linked sets agree on one choice at least;
-- beyond, the domain is cut into k + 1 + e parts, each a signature. Linked sets agree on
-  1 + e parts at least. A set drops its weak parts (at most one feature) if it has no
-  more than e of them: of the parts agreed on, at least one is not weak. e is what sets
-  of the band's size seldom exceed; a set that does keeps its weak parts.
+- beyond, the domain is cut into k + 1 + e parts, each a signature, of which linked sets
+  share 1 + e at least. So each class drops the e signatures under which it meets the
+  most others: of those that two linked classes share, the rarest stays with both. This
+  takes out empty parts and those of common lines and passages, ahead of any comparison.
 
 Equal sets are one class ahead of all that, so copies meet once. Classes under one
 signature are compared with the least of them first; then, where a signature still
 holds several components, in blocks against blocks (each pair of blocks once, however
-many signatures share it). So no pair that a signature brings together goes unseen,
-links are verified on whole sets, and no task or row holds a group of unbounded size.
+many signatures share it). Parity bitmaps, which never differ in more bits than the sets
+in features, rule most pairs out; the others are verified on whole sets, unless they are
+in one component by then. So no pair that a signature brings together goes unseen, and
+no task or row holds a group of unbounded size.
 
 Features and classes are told apart by 64-bit hashes.
 
@@ -27,10 +29,9 @@ an empty table gives an empty result; a null id can't name a component that has
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
-from tidelog.llm.cluster import written
+from tidelog.llm.cluster import release, written
 
-SMALL = 4
+SMALL = 3
 BLOCK = 256
 CHUNK = 1 << 20
 #: Bits of the map of texts whose sets are needed; what it holds in excess is dropped by a join.
@@ -55,15 +56,7 @@ def instance(i: int, num: int, den: int) -> tuple[int, int, int, int, int]:
     k = 2 * high * (den - num) // (den + num)
     if k <= SMALL:
         return low, high, k, k + max(2, k) if k else 1, 0
-    least, e = instance(i - 1, num, den)[0] if i else low, 0
-    for _ in range(30):
-        n = k + 1 + e
-        mean = least / n
-        weak = n * exp(-mean) * (1 + mean)
-        new = int(weak + 3 * sqrt(weak)) + 1
-        if new <= e:
-            break
-        e = min(new, k + 1)
+    e = max(1, k // 4)
     return low, high, k, k + 1 + e, e
 
 
@@ -99,14 +92,14 @@ def class_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(n > 0, name, np.uint64(0)).view(np.int64)
 
 
-def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of non-empty sets, and the index of the set of each."""
+def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets, the index of the set of each, and 2 * how many of its instance a link shares at least + the instance (0: the band's own, 1: the next)."""
     n = np.array([len(x) for x in sets], np.int64)
     edges = _edges(num, den, int(n.max()))
     band = np.searchsorted(edges, n, "right") - 1
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), n)
-    out_s, out_i = [], []
+    out_s, out_i, out_a = [], [], []
     for step in (0, 1):
         what = {b: instance(int(b), num, den) for b in np.unique(band + step)}
         parts = np.array([what[b][3] for b in band + step], np.int64)
@@ -118,17 +111,15 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
         m = int(base[-1])
         low = np.bincount(slot, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
         high = np.bincount(slot, (value >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
-        count = np.bincount(slot, minlength=m)
         who = np.repeat(np.arange(len(sets)), parts)
         number = (np.arange(m) - base[who]).astype(np.uint64)
         content = words.mix(((high << np.uint64(32)) + low) ^ words.mix(seed[who] + number))
         small = np.array([what[b][2] <= SMALL for b in band + step])
         spare = np.array([what[b][4] for b in band + step], np.int64)
-        weak = count <= 1
-        many = np.bincount(who, weak, len(sets)) > spare
-        keep = ~small[who] & (~weak | many[who])
+        keep = ~small[who]
         out_s.append(content[keep])
         out_i.append(who[keep])
+        out_a.append((2 * (spare + 1) + step)[who[keep]])
         for b in np.unique((band + step)[small]):
             _, _, k, p, _ = what[b]
             rows = np.flatnonzero((band + step) == b)
@@ -136,7 +127,8 @@ def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray,
             for c, chosen in enumerate(combinations(range(p), p - k)):
                 out_s.append(words.mix(grid[:, chosen].sum(axis=1, dtype=np.uint64) + np.uint64(c)))
                 out_i.append(rows)
-    return np.concatenate(out_s), np.concatenate(out_i)
+                out_a.append(np.full(len(rows), 2 + step))
+    return np.concatenate(out_s), np.concatenate(out_i), np.concatenate(out_a).astype(np.int32)
 
 
 def _chunks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -165,7 +157,7 @@ def classified(docs: DataFrame, width: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """sig, cls: the signatures of each class that a task meets, once a task."""
+    """sig, cls, ask: the signatures of each class that a task meets, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -176,18 +168,26 @@ def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 names = class_of(sets)
                 new = [i for i, c in enumerate(names.tolist()) if c and c not in done and not done.add(c)]
                 if new:
-                    s, i = signatures([sets[k] for k in new], num, den)
+                    s, i, ask = signatures([sets[k] for k in new], num, den)
                     s, c = s.view(np.int64), names[np.array(new)][i]
                     for k in range(0, len(s), 1 << 17):
-                        yield pa.RecordBatch.from_arrays([pa.array(s[k : k + (1 << 17)]), pa.array(c[k : k + (1 << 17)])], ["sig", "cls"])
+                        yield pa.RecordBatch.from_arrays([pa.array(s[k : k + (1 << 17)]), pa.array(c[k : k + (1 << 17)]), pa.array(ask[k : k + (1 << 17)])], ["sig", "cls", "ask"])
 
-    return docs.select("text").mapInArrow(run, "sig long, cls long")
+    return docs.select("text").mapInArrow(run, "sig long, cls long, ask int")
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits with the bits of the hashes of the column id: built on executors, 4 KB a row, bounded on the driver."""
-    at = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
-    rows = ids.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+def _map_bit(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
+
+
+def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bucket, position = np.where(h > 0, 1 + (h - 1) // 32768, 0), np.where(h > 0, (h - 1) % 32768, 0)
+    return ((bits[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1).astype(bool)
+
+
+def _bitmap(at: Column, df: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits with the bits `at` of df's rows: built on executors, 4 KB a row, bounded on the driver."""
+    rows = df.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
     out = np.zeros(MAP_BITS // 8 + 8192, np.uint8)
     for r in rows:  # buckets are counted from 1; position 0 of bucket 1 is h = 1, and h = 0 is in bucket 0
         raw = np.frombuffer(r["m"], np.uint8)
@@ -196,32 +196,32 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def sets_for(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cls, items: the sets of the wanted classes (column cls), made from one text of each."""
+def sets_for(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, whole: bool) -> DataFrame:
+    """cls, n and sketch or (whole) items of the wanted classes (column cls), made from one text of each."""
     spark = docs.sparkSession
     one = classes.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("id")).join(wanted, "cls", "left_semi")
     one = written(one, "join-wanted")
-    shared = spark.sparkContext.broadcast(_bitmap(one))
+    shared = spark.sparkContext.broadcast(_bitmap(_map_bit("id"), one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False)
-            bucket, position = np.where(h > 0, 1 + (h - 1) // 32768, h // 32768), np.where(h > 0, (h - 1) % 32768, -h % 32768)
-            hit = (bits[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1
-            rows = pa.array(np.flatnonzero(hit))
+            rows = pa.array(np.flatnonzero(_in_map(bits, batch.column(2).to_numpy(zero_copy_only=False))))
             if not len(rows):
                 continue
             ids, texts = batch.column(0).take(rows), batch.column(1).take(rows)
             data, offsets = words.buffers(texts)
             for a, b in _chunks(data, offsets):
                 sets = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                flat = pa.array(np.concatenate(sets).view(np.int64))
-                items = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(class_of(sets)), items], ["id", "cls", "items"])
+                n = np.array([len(x) for x in sets], np.int64)
+                if whole:
+                    value = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                else:
+                    value = pa.array([sketch(x) for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(class_of(sets)), pa.array(n), value], ["id", "cls", "n", "items" if whole else "sketch"])
 
-    found = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("h")).mapInArrow(run, "id long, cls long, items array<long>")
-    return found.join(one.select("cls"), "cls", "left_semi")
+    found = docs.select("doc_id", "text", _map_bit("doc_id").alias("h")).mapInArrow(run, "id long, cls long, n long, " + ("items array<long>" if whole else "sketch binary"))
+    return found.join(one.select("cls"), "cls", "left_semi").drop("id").dropDuplicates(["cls"])
 
 
 def _linked(a: str, b: str, num: int, den: int):
@@ -251,56 +251,122 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("lab", F.coalesce("root", "cls")).drop("root")
 
 
-def _cell_edges(num: int, den: int):
-    """Links between the rows of a cell (one block, or two): enough of them to connect what they connect."""
+def sketch(items: np.ndarray) -> bytes:
+    """A parity bitmap of at least four bits a feature: two sets' bitmaps differ in no more bits than the sets in features."""
+    bits = 256
+    while bits < 4 * len(items):
+        bits *= 2
+    place = (words.mix(items ^ np.uint64(0x6A09E667F3BCC909)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
 
-    def run(table: pa.Table) -> pa.Table:
-        cls, lab = table["cls"].to_numpy(), table["lab"].to_numpy()
-        k = np.unique(cls, return_index=True)[1]
-        cls, lab = cls[k], lab[k]
-        lists = table["items"].combine_chunks()
-        sets = [lists[int(i)].values.to_numpy().view(np.uint64) for i in k]
-        n = np.array([len(x) for x in sets])
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), n)
-        both = np.zeros((len(sets), len(sets)), np.float32)
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        for a in range(0, int(column[-1]) + 1, 8192):
-            i, j = np.searchsorted(column, (a, a + 8192))
-            x = np.zeros((len(sets), 8192), np.float32)
-            x[row[i:j], column[i:j] - a] = 1
-            both += x @ x.T
-        both = both.astype(np.int64)
-        hit = np.triu((den * both >= num * (n[:, None] + n[None, :] - both)) & (lab[:, None] != lab[None, :]), 1)
-        parent = {int(x): int(x) for x in lab}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
 
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows) folded to `width` words."""
+    while x.shape[1] > width:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
+def _possible(n: np.ndarray, m: np.ndarray, apart: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of n and m features that differ in `apart` at least can be linked."""
+    both = np.minimum((n + m - apart) // 2, np.minimum(n, m))
+    return den * both >= num * (n + m - both)
+
+
+def close(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (c, cls) whose sizes and bitmaps allow a link."""
+    slim = sets.select("cls", "n", "sketch")
+    rows = pairs.join(slim, "cls").join(slim.toDF("c", "m", "other"), "c").select("c", "cls", "n", "m", "sketch", "other")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.zeros(len(n), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = (np.frombuffer(z.as_py(), np.uint64)[None] for z in (x, y))
+                w = min(x.shape[1], y.shape[1])
+                apart[i] = np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["c", "cls"]).filter(pa.array(_possible(n, m, apart, num, den)))
+
+    return rows.mapInArrow(run, "c long, cls long")
+
+
+def _cell_pairs(num: int, den: int):
+    """Of a cell (one block, or two): the pairs from different components whose sizes and bitmaps allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, lab, n = (table[x].to_numpy() for x in ("cls", "lab", "n"))
+        maps = [np.frombuffer(x.as_py(), np.uint64) for x in table["sketch"]]
+        widths = np.array([len(x) for x in maps])
         out = []
-        for i, j in zip(*np.nonzero(hit)):
-            p, q = find(int(lab[i])), find(int(lab[j]))
-            if p != q:
-                parent[p] = q
-                out.append((cls[i], cls[j]))
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        for w in np.unique(widths):
+            # Sets so unlike in size that one's bitmap is over twice the other's can't be linked.
+            few, more = np.flatnonzero(widths == w), np.flatnonzero((widths >= w) & (widths <= 2 * w))
+            x = np.stack([maps[i] for i in few])
+            y = np.concatenate([_folded(np.stack([maps[i] for i in more if widths[i] == v]), w) for v in (w, 2 * w) if (widths[more] == v).any()])
+            more = np.concatenate([[i for i in more if widths[i] == v] for v in (w, 2 * w)]).astype(np.int64)
+            for a in range(0, len(few), 64):
+                f = few[a : a + 64]
+                apart = np.zeros((len(f), len(more)), np.int64)
+                for k in range(w):
+                    apart += np.bitwise_count(x[a : a + 64, k, None] ^ y[None, :, k])
+                hit = _possible(n[f][:, None], n[more][None, :], apart, num, den) & (lab[f][:, None] != lab[more][None, :]) & (cls[f][:, None] != cls[more][None, :])
+                i, j = np.nonzero(hit)
+                out.append((np.maximum(cls[f[i]], cls[more[j]]), np.minimum(cls[f[i]], cls[more[j]])))
+        found = np.unique(np.concatenate([np.stack(x, 1) for x in out]), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table([pa.array(found[:, 1]), pa.array(found[:, 0])], ["c", "cls"])
 
     return run
 
 
+def proven(pairs: DataFrame, sets_of_: Callable[[DataFrame], DataFrame], num: int, den: int, known: DataFrame | None = None) -> DataFrame:
+    """known, and links among the pairs, verified on whole sets, so that all the pairs' links are within its components.
+
+    Each class is compared with one other first; pairs that this puts in one component needn't be.
+    """
+    sets = written(sets_of_(pairs.select("cls").union(pairs.select(F.col("c").alias("cls"))).distinct()), "join-sets")
+    full, other = sets.select("cls", "items"), sets.select(F.col("cls").alias("c"), F.col("items").alias("others"))
+
+    def verified(rows: DataFrame) -> DataFrame:
+        found = rows.join(full, "cls").join(other, "c").where(_linked("items", "others", num, den))
+        return written(found.select(F.col("c").alias("a"), F.col("cls").alias("b")), "join-links")
+
+    one = verified(pairs.groupBy("cls").agg(F.min("c").alias("c")))
+    have = one if known is None else known.union(one)
+    roots = written(components_of(have), "join-roots")
+    far = _labelled(pairs, roots).withColumnRenamed("lab", "x").join(roots.toDF("c", "root"), "c", "left").where(F.col("x") != F.coalesce("root", "c"))
+    return have.union(verified(far.select("c", "cls")))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """The distinct rows whose signature has several classes, with the least of them (c) and their number (size)."""
+    by = Window.partitionBy("sig")
+    once = rows.select("sig", "cls", "ask").repartition("sig").groupBy("sig", "cls").agg(F.max("ask").alias("ask"))  # one exchange for both
+    return once.withColumns({"c": F.min("cls").over(by), "size": F.count(F.lit(1)).over(by)}).where("size > 1")
+
+
+def rare(met: DataFrame) -> DataFrame:
+    """met without the signatures under which each class meets the most others, as many as a link shares less one.
+
+    Classes that share t signatures share one that isn't among the t - 1 commonest of
+    either (the rarest that they share), so all links still meet; common lines and
+    passages, which make the largest groups, mostly don't.
+    """
+    by = Window.partitionBy("cls", F.col("ask") % 2).orderBy(F.col("size").desc(), "sig")
+    return met.withColumn("_k", F.row_number().over(by)).where(F.col("_k") >= F.shiftright("ask", 1)).drop("_k", "c")
+
+
 def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """a, b: links between classes, enough of them to give all components."""
-    by = Window.partitionBy("sig")
-    met = signed(docs, width, num, den).withColumns({"c": F.min("cls").over(by), "d": F.max("cls").over(by)}).where("c <> d").select("sig", "cls", "c").distinct()
-    met = written(met, "join-met")
+    met = written(grouped(signed(docs, width, num, den)), "join-met")
+    release(docs.sparkSession)  # of the signatures most are met once; their shuffle files are the largest there are
+    met = written(grouped(rare(met)), "join-met")
+    release(docs.sparkSession)
     pairs = written(met.where("cls <> c").select("c", "cls").distinct(), "join-pairs")
     wanted = pairs.select("cls").union(pairs.select(F.col("c").alias("cls"))).distinct()
-    sets = written(sets_for(docs, classes, wanted, width).select("cls", "items").dropDuplicates(["cls"]), "join-sets")
-    first = pairs.join(sets, "cls").join(sets.toDF("c", "others"), "c").where(_linked("items", "others", num, den)).select(F.col("c").alias("a"), F.col("cls").alias("b"))
-    first = written(first, "join-links")
+    sets = written(sets_for(docs, classes, wanted, width, False), "join-sketches")
+    whole = lambda some: sets_for(docs, classes, some, width, True)
+    first = proven(written(close(pairs, sets, num, den), "join-close"), whole, num, den)
     # Signatures whose classes, the least one apart, are still in several components. Home: where a class's block is.
     open_ = _labelled(met.where("cls <> c"), components_of(first))
     mixed = open_.groupBy("sig").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select("sig")
@@ -310,9 +376,9 @@ def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
     home = written(home.join(sizes, "home").select("cls", "lab", F.struct("home", F.pmod(F.xxhash64("cls"), F.col("k")).alias("i")).alias("block")), "join-blocks")
     at = rest.select("sig", "cls").join(home, "cls").select("sig", "block").distinct()
     cells = at.join(at.withColumnRenamed("block", "other"), "sig").where("block <= other").select("block", "other").distinct()
-    rows = cells.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("own")).join(home.withColumnRenamed("block", "own"), "own").join(sets, "cls")
-    second = rows.select("block", "other", "cls", "lab", "items").groupBy("block", "other").applyInArrow(_cell_edges(num, den), "a long, b long")
-    return first.union(written(second, "join-links"))
+    rows = cells.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("own")).join(home.withColumnRenamed("block", "own"), "own").join(sets.select("cls", "n", "sketch"), "cls")
+    second = rows.select("block", "other", "cls", "lab", "n", "sketch").groupBy("block", "other").applyInArrow(_cell_pairs(num, den), "c long, cls long")
+    return proven(written(second.distinct(), "join-close"), whole, num, den, first)
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,8 +399,28 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     text one stays.
     """
     found = written(components(docs, width, num, den, id_col, text_col), "join-components")
+    release(docs.sparkSession)
     first = found.where("cls <> 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_id")).alias("k")).select("k.doc_id", "k.text_id")
-    kept = first.union(found.where("cls = 0").select("doc_id", "text_id")).distinct().toDF("_kept_id", "_kept_text")
-    rows = docs.withColumns({"_kept_id": F.col(id_col).cast("long"), "_kept_text": text_id(F.col(text_col))})
-    on = rows["_kept_id"].eqNullSafe(kept["_kept_id"]) & (rows["_kept_text"] == kept["_kept_text"])
-    return rows.join(kept, on, "left_semi").dropDuplicates(["_kept_id", "_kept_text"]).select(*docs.columns)
+    every = found.groupBy("doc_id", "text_id").agg(F.count(F.lit(1)).alias("n"), F.max("cls").alias("cls"), F.min("cls").alias("low"))
+    stays = first.withColumn("first", F.lit(True))
+    same = every["doc_id"].eqNullSafe(stays["doc_id"]) & (every["text_id"] == stays["text_id"])
+    marked = every.join(stays, same, "left").select(every["doc_id"], every["text_id"], "n", (F.coalesce("first", F.lit(False)) | ((F.col("cls") == 0) & (F.col("low") == 0))).alias("kept"))
+    marked = written(marked, "join-kept")
+    # Most rows stay and don't repeat. The others are in a map; rows outside it pass where they are, those in it are joined.
+    odd = marked.where(~F.col("kept") | (F.col("n") > 1))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(_map_bit("doc_id", "text_id"), odd))
+    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": text_id(F.col(text_col))}).withColumn("_bit", _map_bit("_id", "_text"))
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+
+    def passing(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = _in_map(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(hit == inside))
+
+        return rows.mapInArrow(run, schema)
+
+    whole_key = {"_id": F.coalesce("_id", F.lit(0).cast("long")), "_null": F.col("_id").isNull()}
+    kept = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).withColumns(whole_key)
+    joined = passing(True).withColumns(whole_key).join(kept, ["_id", "_text", "_null"], "left_semi").dropDuplicates(["_id", "_text", "_null"])
+    return passing(False).select(*docs.columns).union(joined.select(*docs.columns))
