@@ -87,3 +87,22 @@ def test_create_head_delete_expiry(spark):
     assert {x["stream_id"]: x["next_offset"] for x in streams.head(st, m, NOW()).collect()} == {"s": "0000000002", "f": "0000000000"}
     a, b = streams.delete(st, m, st.where("stream_id = 's'"))
     assert a.count() == 2 and b.count() == 1
+
+
+def test_append_from_files(spark, tmp_path):
+    for name, body in (("b.txt", "second"), ("a.txt", "first é"), ("c.txt", "")):
+        (tmp_path / name).write_text(body, encoding="utf-8")
+    df = append.from_files(spark, str(tmp_path), "s", "text/plain", seq="s1")
+    st = spark.createDataFrame([("s", "text/plain", None)], "stream_id string, content_type string, expires_at timestamp")
+    results, stored = append.append(df, st, NOW())
+    assert [(r["offset"], r["data"]) for r in stored.orderBy("idx").collect()] == [("0000000001", "first é"), ("0000000002", "second")]
+    assert sorted((r["arrival"], r["status"], r["seq"]) for r in results.collect()) == [(1, "ok", "s1"), (2, "ok", None), (3, "bad_request", None)]
+
+
+def test_hot_stream_is_spread(spark):
+    """A window's key is (stream, span): one stream's rows go to as many groups as it has spans."""
+    df = spark.range(0, 1000).select(F.lit("hot").alias("stream_id"), F.col("id").alias("arrival"))
+    plan = scan.before(df, "stream_id", "arrival", {"n": F.lit(1)}, span=100)._jdf.queryExecution().toString()
+    assert "windowspecdefinition(stream_id" in plan and "_span" in plan
+    got = append.number(df, span=100)
+    assert [r["idx"] for r in got.orderBy("arrival").collect()] == list(range(1, 1001))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import media, offsets, payload, requests
@@ -68,3 +68,16 @@ def append(appends: DataFrame, streams: DataFrame, now: Column, tails: DataFrame
     idx = (F.col("_n") + F.col("pos") + 1 + base).cast("long")
     messages = rows.select("stream_id", "arrival", "pos", "data", idx.alias("idx"), offsets.to_offset(idx).alias("offset"), F.octet_length("data").alias("n_bytes"))
     return results, messages
+
+
+def from_files(spark: SparkSession, path: str, stream_id: str, content_type: str, seq: str | None = None) -> DataFrame:
+    """Whole files as appends to one stream, in the order of their paths; executors read them.
+
+    Files are numbered from their names alone; contents follow by a join. An empty file
+    is an append without data, which `check` refuses; seq goes with the first file.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    numbered = files.select("path").withColumn("arrival", F.row_number().over(Window.orderBy("path")).cast("long"))
+    rows = files.select("path", F.decode("content", "utf-8").alias("body")).join(numbered, "path")
+    first = F.when(F.col("arrival") == 1, F.lit(seq)).cast("string")
+    return rows.select(F.lit(stream_id).alias("stream_id"), "arrival", F.lit(content_type).alias("content_type"), "body", first.alias("seq"))
