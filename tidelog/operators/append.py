@@ -73,8 +73,8 @@ def append(appends: DataFrame, streams: DataFrame, now: Column, tails: DataFrame
 def from_files(spark: SparkSession, path: str, stream_id: str, content_type: str, seq: str | None = None) -> DataFrame:
     """Whole files as appends to one stream, in the order of their paths; executors read them.
 
-    Files are numbered from their names alone; contents follow by a join. An empty file
-    is an append without data, which `check` refuses; seq goes with the first file.
+    Files are numbered from their names alone; contents follow by a join. Empty
+    files, which Spark's reader passes over, append nothing; seq goes with the first file.
     """
     files = spark.read.format("binaryFile").load(path)
     numbered = files.select("path").withColumn("arrival", F.row_number().over(Window.orderBy("path")).cast("long"))
