@@ -37,13 +37,18 @@ LEAST = 100
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 32768
 #: A new archive is begun beyond so many bytes.
 ARCHIVE_BYTES = 32 << 20
+BATCH_ROWS = 500
 DATE = "2000-01-01T00:00:00Z"
 OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> bytes:
     """A dictionary fitted on a bounded sample; empty where the sample is too small for one."""
-    rows = pages.where(F.length(html_col) > 0).select(F.xxhash64(id_col).alias("h"), F.substring(html_col, 1, SAMPLE_CHARS).alias("s"))
+    # A hash bound leaves about twice as many rows as are wanted, so that tasks send only those.
+    most = 1 << 30
+    bound = min(most, 1024 + 2 * SAMPLE_ROWS * most // max(1, pages.count()))
+    h = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(9)), 34)
+    rows = pages.where((h < bound) & (F.length(html_col) > 0)).select(h.alias("h"), F.substring(html_col, 1, SAMPLE_CHARS).alias("s"))
     samples = [r["s"].encode() for r in rows.orderBy("h", "s").limit(SAMPLE_ROWS).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=3).as_bytes() if len(samples) >= 8 else b""
@@ -185,7 +190,15 @@ def write(rows: DataFrame, folder: str, trained: bytes = b"", archive_bytes: int
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done]), pa.array([x[1] for x in done], pa.int64())], ["path", "records"])
 
-    return written(rows.mapInArrow(put, "path string, records long"), "warc-list")
+    # Pages are long: a thousand rows in a batch are some megabytes, ten thousand (the default) too many beside the sort.
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(BATCH_ROWS, int(before))) if int(before) > 0 else str(BATCH_ROWS))
+    try:
+        listed = rows.mapInArrow(put, "path string, records long")
+        return written(listed.repartition(1 + tasks(rows.sparkSession) // 64), "warc-list")  # a row for each archive: a few files
+    finally:
+        conf.set(name, before)
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
