@@ -35,3 +35,30 @@ def test_query_equals_sql(spark, duck, tmp_path, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("limit", [None, 100])
+def test_response_pages_hold_every_message(spark, limit):
+    """Against a plain loop over all events; each stream is far longer than the 20 messages of response_body."""
+    import pyarrow.parquet as pq
+
+    streams = {}
+    for r in sorted(pq.read_table(f"{DATA}/events.parquet", columns=["event_id", "event_type", "props"]).to_pylist(), key=lambda r: r["event_id"]):
+        streams.setdefault(r["event_type"], []).append(r["props"])
+    want = []
+    for s, messages in streams.items():
+        assert len(messages) > 20
+        pages, used = [], 0
+        for data in messages:
+            n = len(data.encode())
+            if not pages or used + n > (limit or 1 << 20):
+                pages, used = [*pages, []], 0
+            pages[-1].append(data)
+            used += n
+        first = 1
+        for k, page in enumerate(pages, 1):
+            want.append((s, k, first, first + len(page) - 1, "".join(page) if s == "click" else "[" + ",".join(page) + "]"))
+            first += len(page)
+    query = entry.queries()["response_pages"]
+    got = query(spark, DATA) if limit is None else query(spark, DATA, limit)
+    assert sorted(map(tuple, got.collect())) == sorted(want)

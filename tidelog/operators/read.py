@@ -58,8 +58,8 @@ def catch_up(messages: DataFrame, offset: str | None = None, limit: int = reques
     )
 
 
-def pages(messages: DataFrame, limit: int) -> DataFrame:
-    """messages (stream_id, idx, n_bytes) with page, from 1: each page takes what fits the limit, one message at least.
+def pages(messages: DataFrame, limit: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """messages (stream_id, idx, n_bytes and the columns in keep) with page, from 1: each page takes what fits the limit, one message at least.
 
     Where a page ends depends on all before it, so a stream is one sorted run; it is
     walked batch by batch with the state of one page, so its size doesn't matter to memory.
@@ -89,8 +89,9 @@ def pages(messages: DataFrame, limit: int) -> DataFrame:
                         used, done, i = int(size[a + i]), int(total[i]), i + 1
             yield df.assign(page=out)
 
-    ordered = messages.select("stream_id", "idx", "n_bytes").repartition("stream_id").sortWithinPartitions("stream_id", "idx")
-    return ordered.mapInPandas(walk, "stream_id string, idx long, n_bytes int, page long")
+    ordered = messages.select("stream_id", "idx", "n_bytes", *keep).repartition("stream_id").sortWithinPartitions("stream_id", "idx")
+    own = "".join(f"`{n}` {t}, " for n, t in ordered.select(*keep).dtypes) if keep else ""
+    return ordered.mapInPandas(walk, f"stream_id string, idx long, n_bytes int, {own}page long")
 
 
 def live_status(idx: Column, tail: Column) -> Column:

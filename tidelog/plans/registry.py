@@ -99,6 +99,13 @@ def response_body(spark, d):
     return m.groupBy("stream_id").agg(payload.body(F.col("content_type"), F.col("data"), F.col("idx")).alias("body"))
 
 
+def response_pages(spark, d, limit=requests.CHUNK):
+    """The bodies that reading each stream from its start answers, page by page: every message is in one body."""
+    m = _messages(spark, d).withColumn("content_type", F.when(F.col("stream_id") == "click", "text/plain").otherwise(" Application/JSON ; q=1"))
+    p = reading.pages(m, limit, keep=("content_type", "data"))
+    return p.groupBy("stream_id", "page").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), payload.body(F.col("content_type"), F.col("data"), F.col("idx")).alias("body"))
+
+
 def json_flatten(spark, d):
     e = _events(spark, d).groupBy(F.floor(F.col("event_id") / 4).alias("batch")).agg(payload.wrapped(F.col("props"), F.col("event_id")).alias("body"))
     return payload.flatten(e, "body").select("batch", F.col("pos").cast("long").alias("pos"), "data")
@@ -306,4 +313,5 @@ SQL = {
     "backoff_schedule": "SELECT CAST(k AS BIGINT) AS attempt, CAST(least(100 * pow(2, k - 1), 10000) AS BIGINT) AS wait_ms FROM range(1, 13) t(k)",
 }
 
-QUERIES = {k: globals()[k] for k in SQL}
+#: response_pages has no SQL; a test holds it to a plain loop.
+QUERIES = {k: globals()[k] for k in [*SQL, "response_pages"]}
