@@ -247,6 +247,49 @@ def test_langid_pieces_add_up(monkeypatch):
     assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
 
 
+def test_langid_tells_scripts_apart():
+    """Scripts with few short texts beside others with large alphabets."""
+    rng = random.Random(6)
+
+    def texts(first, size, n, words):
+        return [" ".join("".join(chr(first + rng.randrange(size)) for _ in range(rng.randint(1, 5))) for _ in range(words)) for _ in range(n)]
+
+    small = {"ka": (0x10D0, 33), "am": (0x1200, 60), "hi": (0x0915, 36), "el": (0x03B1, 25), "ff": (0x1E922, 34)}  # ff: beyond 16 bits
+    samples = {"zh": texts(0x4E00, 3000, 40, 60), "ko": texts(0xAC00, 2000, 40, 60)} | {k: texts(*v, 6, 8) for k, v in small.items()}
+    model = langid.fit(samples)
+    assert all(model.letters[ord(c)] for v in samples.values() for i, x in enumerate(v) if i % 4 != 3 for c in x.lower())
+    for k, v in {"zh": (0x4E00, 3000), "ko": (0xAC00, 2000), **small}.items():
+        lang, _, _ = langid.predict(model, texts(*v, 10, 12))
+        assert lang == [k] * 10
+
+
+def test_langid_rejects_a_script_nobody_learned():
+    rng = random.Random(6)
+
+    def texts(first, size, n, words):
+        """Prose: of the script's words, the earlier are the commoner."""
+        own = random.Random(first)
+        v = ["".join(chr(first + own.randrange(size)) for _ in range(own.randint(1, 5))) for _ in range(max(60, size))]
+        return [" ".join(v[min(int(rng.paretovariate(0.7)) - 1, len(v) - 1)] for _ in range(words)) for _ in range(n)]
+
+    big, small = {"zh": (0x4E00, 3000), "ko": (0xAC00, 2000)}, {"ka": (0x10D0, 33), "am": (0x1200, 60), "hi": (0x0915, 36), "el": (0x03B1, 25)}
+    model = langid.fit({k: texts(*v, 40, 200) for k, v in big.items()} | {k: texts(*v, 6, 30) for k, v in small.items()})
+    for k, v in {**big, **small}.items():
+        lang, _, accepted = langid.predict(model, texts(*v, 10, 40))
+        assert lang == [k] * 10 and all(accepted)
+    assert not any(langid.predict(model, texts(0x0E01, 46, 10, 40))[2])  # Thai
+
+
+def test_langid_more_code_points_than_symbols():
+    """Over 65,535 code points: nothing is merged, each UTF-16 unit is a symbol."""
+    every = [*range(0x3400, 0x4DB0), *range(0x4E00, 0x9FF0), *range(0xAC00, 0xD7A0), *range(0x20000, 0x2A6D0)]
+    cut = ["".join(map(chr, every[a : a + 1000])) for a in range(0, len(every), 1000)]
+    samples = {"big": [x for x in cut for _ in range(4)], "en": ["the river and the stone"] * 4}
+    model = langid.fit(samples)
+    assert model.units and all(model.letters[langid.lines([x], True)].all() for x in cut)
+    assert langid.predict(model, [cut[-1], "the stone"])[0] == ["big", "en"]
+
+
 # 7
 
 

@@ -7,6 +7,10 @@ order: a sorted array of hashed n-grams, with the log probabilities of all langu
 in each row; a second sorted array holds the back-off weights of the contexts. A text
 goes to the language with the lowest cross-entropy per character.
 
+A symbol is a code point of the fitting sample, in 16 bits; those that the sample doesn't
+hold are one unknown symbol. If the sample holds more code points than 16 bits number, the
+symbols are UTF-16 units instead, so that none is merged with another.
+
 The fit uses a bounded sample of labelled rows: up to PER_LANGUAGE texts of each
 language, of at most FIT_CHARS characters each, in the order of the hash of their ids.
 Every text is scored whole.
@@ -34,6 +38,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.text import mix
 
 ORDER = 4
+#: Bits of a symbol: ORDER symbols fill 64.
+BITS = 16
 PER_LANGUAGE, FIT_CHARS = 400, 20_000
 REJECT = 12.0
 #: Characters of text that are scored at once.
@@ -83,46 +89,48 @@ class Table:
 @dataclass
 class Model:
     languages: list[str]
-    letters: np.ndarray  # code point -> symbol; 0: unknown
+    letters: np.ndarray  # code point (or UTF-16 unit) -> symbol; 0: unknown
     grams: list[Table]  # by order from 2: log probabilities
     contexts: list[Table]  # by order from 2: log weight of backing off
     unigram: np.ndarray
     mean: np.ndarray
     spread: np.ndarray  # a and b of each language
+    units: bool = False  # whether symbols stand for UTF-16 units
 
 
-def lines(texts: list[str]) -> np.ndarray:
-    """Code points of the texts, each after ORDER - 1 start marks."""
+def lines(texts: list[str], units: bool = False) -> np.ndarray:
+    """Code points (or UTF-16 units) of the texts, each after ORDER - 1 start marks."""
     pad = START * (ORDER - 1)
-    return np.frombuffer("".join(pad + x.lower().replace(START, " ") for x in texts).encode("utf-32-le"), np.uint32)
+    whole = "".join(pad + x.lower().replace(START, " ") for x in texts)
+    return np.frombuffer(whole.encode("utf-16-le"), np.uint16) if units else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
 
 
 def _grams(symbols: np.ndarray, order: int) -> np.ndarray:
-    """n-gram ending at each place, packed in 8 bits a symbol."""
+    """n-gram ending at each place, packed in BITS bits a symbol."""
     out = symbols.astype(np.uint64)
     for k in range(1, order):
-        out[k:] |= symbols[:-k].astype(np.uint64) << np.uint64(8 * k)
+        out[k:] |= symbols[:-k].astype(np.uint64) << np.uint64(BITS * k)
     return out
 
 
 def _kneser_ney(counts: dict[int, list[tuple[np.ndarray, np.ndarray]]], size: int):
     """Log probabilities and back-off weights of one language. counts[order]: the n-grams of the order and what they count."""
     unigrams, n = counts[1]
-    prob1 = np.zeros(256)
+    prob1 = np.zeros(size)
     prob1[unigrams.astype(np.int64)] = n
     d = _discount(n)
     total = prob1.sum()
     prob1 = np.maximum(prob1 - d, 0) / total + d * len(n) / total / size
-    lower_keys, lower_prob = np.arange(256, dtype=np.uint64), prob1
+    lower_keys, lower_prob = np.arange(size, dtype=np.uint64), prob1
     tables = {1: prob1}
     for order in range(2, ORDER + 1):
         g, n = counts[order]
         d = _discount(n)
-        context = g >> np.uint64(8)
+        context = g >> np.uint64(BITS)
         ctx, inverse = np.unique(context, return_inverse=True)
         total = np.bincount(inverse, n)
         gamma = d * np.bincount(inverse) / total
-        suffix = g & np.uint64((1 << (8 * (order - 1))) - 1)
+        suffix = g & np.uint64((1 << (BITS * (order - 1))) - 1)
         at = np.searchsorted(lower_keys, suffix)
         prob = np.maximum(n - d, 0) / total[inverse] + gamma[inverse] * lower_prob[at]
         tables[order] = (g, prob, ctx, gamma)
@@ -138,40 +146,47 @@ def _discount(n: np.ndarray) -> float:
 def _prob(tables, order: int, grams: np.ndarray) -> np.ndarray:
     """The model's probability of any n-grams, seen or not."""
     if order == 1:
-        return tables[1][(grams & np.uint64(255)).astype(np.int64)]
+        return tables[1][(grams & np.uint64((1 << BITS) - 1)).astype(np.int64)]
     keys, prob, ctx, gamma = tables[order]
     at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
     seen = keys[at] == grams
     out = np.where(seen, prob[at], 0.0)
     rest = np.flatnonzero(~seen)
     if len(rest):
-        c = grams[rest] >> np.uint64(8)
+        c = grams[rest] >> np.uint64(BITS)
         k = np.minimum(np.searchsorted(ctx, c), len(ctx) - 1)
-        out[rest] = np.where(ctx[k] == c, gamma[k], 1.0) * _prob(tables, order - 1, grams[rest] & np.uint64((1 << (8 * (order - 1))) - 1))
+        out[rest] = np.where(ctx[k] == c, gamma[k], 1.0) * _prob(tables, order - 1, grams[rest] & np.uint64((1 << (BITS * (order - 1))) - 1))
     return out
 
 
+def _symbols(samples: dict[str, list[str]], units: bool) -> np.ndarray:
+    """The code points (or UTF-16 units) of the samples; NUL stays unknown, so that units always fit BITS bits."""
+    found = np.unique(np.concatenate([np.unique(lines(v, units)) for v in samples.values()]))
+    return found[found > 0]
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model from texts of each language."""
     languages = sorted(samples)
     kept = {k: [x for i, x in enumerate(v) if i % 4 != 3] or v for k, v in samples.items()}
     held = {k: [x for i, x in enumerate(v) if i % 4 == 3] or v for k, v in samples.items()}
-    points, freq = np.unique(np.concatenate([lines(kept[k]) for k in languages]), return_counts=True)
-    points = points[np.argsort(-freq, kind="stable")][:254]
-    letters = np.zeros(0x110000, np.uint8)
+    units, points = False, _symbols(kept, False)
+    if len(points) >= 1 << BITS:
+        units, points = True, _symbols(kept, True)
+    letters = np.zeros(1 << 16 if units else 0x110000, np.uint16)
     letters[points] = np.arange(1, len(points) + 1)
     size, models = len(points) + 1, []
     start = int(letters[ord(START)])
     for k in languages:
-        symbols = letters[lines(kept[k])]
+        symbols = letters[lines(kept[k], units)]
         counts: dict = {}
         g = _grams(symbols, ORDER)[ORDER - 1 :]
-        keep = (g & np.uint64(255)) != start
+        keep = (g & np.uint64((1 << BITS) - 1)) != start
         top, n = np.unique(g[keep], return_counts=True)
         counts[ORDER] = (top, n.astype(float))
         for order in range(ORDER - 1, 0, -1):  # continuation counts: in how many ways the n-gram is preceded
             above = counts[order + 1][0]
-            g, n = np.unique(above & np.uint64((1 << (8 * order)) - 1), return_counts=True)
+            g, n = np.unique(above & np.uint64((1 << (BITS * order)) - 1), return_counts=True)
             counts[order] = (g, n.astype(float))
         models.append(_kneser_ney(counts, size))
     grams, contexts = [], []
@@ -184,7 +199,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
             gamma[np.searchsorted(ctx, m[order][2]), j] = m[order][3]
         contexts.append(Table.of(ctx, np.log(gamma)))
     unigram = np.log(np.stack([m[1] for m in models], 1)).astype(np.float32)
-    model = Model(languages, letters, grams, contexts, unigram, np.zeros(len(languages)), np.zeros((len(languages), 2)))
+    model = Model(languages, letters, grams, contexts, unigram, np.zeros(len(languages)), np.zeros((len(languages), 2)), units)
     for j, k in enumerate(languages):
         texts = [x for x in held[k] if _LETTER.search(x)] or [" "]
         # Pieces of several lengths show how the spread falls with the length.
@@ -208,7 +223,7 @@ def totals(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         while stop < len(texts) and (stop == k or size + len(texts[stop]) <= CHUNK):
             size += len(texts[stop])
             stop += 1
-        symbols = model.letters[lines(texts[k:stop])]
+        symbols = model.letters[lines(texts[k:stop], model.units)]
         starts = symbols == model.letters[ord(START)]
         # A text's symbols follow its start marks; where lower-casing changed the length, the marks still tell.
         begin = np.flatnonzero(starts)[ORDER - 2 :: ORDER - 1] + 1
@@ -243,10 +258,10 @@ def _logs(model: Model, symbols: np.ndarray) -> np.ndarray:
         rest, g = rest[~hit], g[~hit]
         if not len(rest):
             return out
-        c = model.contexts[order - 2].find(g >> np.uint64(8))
+        c = model.contexts[order - 2].find(g >> np.uint64(BITS))
         seen = c >= 0
         out[rest[seen]] += model.contexts[order - 2].values[c[seen]]
-        g = g & np.uint64((1 << (8 * (order - 1))) - 1)
+        g = g & np.uint64((1 << (BITS * (order - 1))) - 1)
     out[rest] += model.unigram[g.astype(np.int64)]
     return out
 
