@@ -126,6 +126,26 @@ def test_html():
     assert html.extract("", w) == "" and html.extract("plain words only and more of them", w) == "plain words only and more of them" and html.extract("<p>" * 500 + "<script>x", w) == ""
 
 
+def test_html_keeps_article_text_with_hints():
+    w = html.fit(html.labelled())
+    words = "some ordinary words of the article stand here in a row"
+    for hold in ("article", "main"):
+        for part in ('<h2 id="how-to-register">{}</h2>', '<h2 class="related-work">{}</h2>', '<section id="discussion"><p>{}</p></section>', '<div class="section level2" id="discussion"><h2>{}</h2></div>', '<div class="legal-analysis">{}</div>', '<table><tr><td class="notice">{}</td></tr></table>', '<ul><li id="follow">{}</li></ul>', '<p><a id="search" href="#x">{}</a></p>', '<blockquote class="popular">{}</blockquote>'):
+            page = f"<body><{hold}><h1>The title</h1><p>{words}</p>{part.format('kept ' + words)}<p>{words}</p></{hold}></body>"
+            assert html.extract(page, w) == f"The title\n{words}\nkept {words}\n{words}", part
+        for part in ("<div class=ad>{}</div>", '<div class="promo-box">{}</div>', '<aside class="x">{}</aside>', "<ul class='social share'><li>{}</ul>", '<div id="comments"><p>{}</p></div>', '<section class="comments">{}</section>'):
+            page = f"<body><{hold}><h1>The title</h1><p>{words}</p>{part.format('gone ' + words)}<p>{words}</p></{hold}></body>"
+            assert html.extract(page, w) == f"The title\n{words}\n{words}", part
+
+
+def test_html_without_article_is_not_parted_by_what_is_dropped():
+    w = html.fit(html.labelled())
+    words = "some ordinary words of the text stand here in a row"
+    for part in ("<div class=ad>" + "buy it now " * 300 + "</div>", '<div class="related"><ul>' + "<li><a href=/x>more of that</a></li>" * 100 + "</ul></div>"):
+        page = f"<body><div class=post><h1>The title</h1><p>{words}</p>{part}<h2 id='how-to-register'>Next part</h2><p>{words}</p></div></body>"
+        assert html.extract(page, w) == f"The title\n{words}\nNext part\n{words}"
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (2, None, "<article><p>x y z and more words", 2)], "page_id long, url string, html string, text int")
     got = sorted(map(tuple, html.main_text(df).collect()))

@@ -5,6 +5,10 @@ learned from labelled pages, that what looks like it belongs to the article. Wor
 ordinary prose score above zero, those of links, menus and the like below, tags below.
 One linear scan finds the contiguous run with the largest sum; of it, what stands in
 elements that are never article text (forms, adverts, comments and so on) is left out.
+As it is left out anyway, it scores near zero and does not part what stands around it.
+
+Names of classes and ids hint at such elements. Inside the article only whole names of
+wrappers do; ids of headings and sections are slugs of their text and never do.
 
 Labelled pages are (html with the article's text marked) pairs; `labelled` makes a fixed
 set in several layouts, and others can be given to `fit`.
@@ -44,18 +48,34 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 HINTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register menu menus nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets related recommended recommendations trending popular share sharing social follow comment comments disqus reply replies respond discussion footer foot masthead topbar toolbar pagination pager copyright legal disclaimer search skip".split()
 )
+#: Inside the article: the elements that hints hold for, and the words that may stand beside a hint in a whole name.
+WRAPPERS = frozenset("div section aside ul".split())
+PLAIN = frozenset("area bar block box container inner list panel section slot unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 COMMENTS = frozenset("comment comments disqus reply replies respond discussion".split())
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SOME = re.compile(r"class|id|role|hidden|style", re.I)
 
 
+def _whole(value: str) -> set[str]:
+    """The hints among names that consist of hints and plain words only."""
+    out: set[str] = set()
+    for one in value.split():
+        words = {w.lower() for w in _PART.findall(one)}
+        if words <= HINTS | PLAIN:
+            out |= words & HINTS
+    return out
+
+
 def _flags(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
     """Whether an element is never article text, is the article, or holds comments."""
     out, article, comments = name in NEVER or (name == "header" and not in_article), name in ("article", "main"), False
     if attributes and _SOME.search(attributes):
-        for m in _ATTR.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attributes)]
+        # Headings and sections (<section>, <div class="section level2">) have slugs of their text as ids.
+        slug = name == "section" or name in HEADINGS or any(key == "class" and "section" in value.lower().split() for key, value in found)
+        for key, value in found:
             if key == "role":
                 out |= value.lower() in ROLES
                 article |= value.lower() in ("main", "article")
@@ -63,15 +83,15 @@ def _flags(name: str, attributes: str, in_article: bool) -> tuple[bool, bool, bo
                 out = True
             elif key == "style":
                 out |= "display:none" in value.replace(" ", "").lower()
-            elif name not in ("body", "html", "main"):
-                words = {w.lower() for w in _PART.findall(value)}
+            elif name not in ("body", "html", "main") and not (key == "id" and slug and (in_article or name in HEADINGS)):
+                words = _whole(value) if in_article and name in WRAPPERS else set() if in_article else {w.lower() for w in _PART.findall(value)}
                 comments |= bool(words & COMMENTS)
                 out |= bool(words & HINTS) or (not in_article and "header" in words)
     return out, article, comments
 
 
 def pieces(html: str) -> list[tuple]:
-    """("tag", name) and ("text", text, dropped, linked, in article, block) in page order."""
+    """("tag", name, dropped) and ("text", text, dropped, linked, in article, block) in page order."""
     out: list[tuple] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, dropped, in article, in comments
     dropped = article = comments = False
@@ -89,7 +109,8 @@ def pieces(html: str) -> list[tuple]:
         if not name:
             continue
         closing = bool(m[2] or m[5])
-        out.append(("tag", name if not closing else "/" + name))
+        spot = len(out)
+        out.append(("tag", name if not closing else "/" + name, dropped))
         if name in BLOCKS:
             block = "body" if closing else name
         if name not in HOLDERS:
@@ -110,6 +131,7 @@ def pieces(html: str) -> list[tuple]:
             dropped = own if is_article and not comments else dropped or own
             article = article or (is_article and not dropped)
             stack.append((name, dropped, article, comments))
+            out[spot] = ("tag", name, dropped)
     if at < len(html):
         text(html[at:])
     return out
@@ -173,11 +195,11 @@ def extract(html: str, weights: dict[tuple, float]) -> str:
     page = pieces(html)
     kinds = _kinds(page)
     scores = []
-    for kind, n in kinds:
-        if kind[0] == "tag":
-            scores.append(weights.get(kind, -0.3))
-        elif kind[1] and kind[3] == "in":
+    for p, (kind, n) in zip(page, kinds):
+        if p[2]:
             scores.append(-0.01 * n)  # left out below; it should not part a heading from its text
+        elif kind[0] == "tag":
+            scores.append(weights.get(kind, -0.3))
         else:
             scores.append(n * sum(weights.get((j, v), 0.0) for j, v in enumerate(kind[1:])) if n else 0.0)
     a, b = best_run(scores)
