@@ -249,6 +249,20 @@ def test_langid(spark, docs):
     assert empty == {}
 
 
+def test_langid_samples_long_texts_where_short_ones_are_few(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    rows = [(i, text(30), "en", "a") for i in range(60)] + [(100 + i, text(500), "en", "a") for i in range(60)] + [(200 + i, text(400), "de", "a") for i in range(60)]
+    rows += [(i, text(20), "fr", "a") for i in range(300, 304)] + [(400 + i, text(400), "fr", "a") for i in range(3000)]
+    got = langid.sample(documents(spark, rows), per_language=10, fit_chars=50)
+    assert {k: len(v) for k, v in got.items()} == {"en": 10, "de": 10, "fr": 10}
+    assert {len(x) for x in got["en"]} == {30} and {len(x) for x in got["de"]} == {50}
+    short = [t for i, t, *_ in rows if 300 <= i < 304 and zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(x for x in got["fr"] if len(x) < 50) == sorted(short) and {len(x) for x in got["fr"]} == {20, 50}
+    whole = {k: [t for _, t, lang, _ in rows if lang == k] for k in got}
+    assert all(any(x in t for t in whole[k]) for k, v in got.items() for x in v)
+
+
 def test_langid_is_a_distribution():
     model = langid.fit({"en": ["the river and the stone " * 20, "walking by the house", "light and stone", "and so on"], "de": ["der fluß und der stein " * 20, "licht und haus", "gehen", "und so"]})
     symbols = [int(s) for s in np.unique(model.letters) if s and s != model.letters[ord(langid.START)]]

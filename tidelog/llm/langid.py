@@ -13,7 +13,8 @@ symbols are UTF-16 units instead, so that none is merged with another.
 
 The fit uses a bounded sample of labelled rows: up to PER_LANGUAGE texts of each
 language, of at most FIT_CHARS characters each, in the order of the hash of their ids.
-Every text is scored whole.
+A language with fewer such texts is filled up with passages of FIT_CHARS characters from
+longer ones, each at a place given by the hash of its id. Every text is scored whole.
 
 Rejection: on a part of the sample kept from the fit, each language's cross-entropy
 has a mean and a variance a + b / n_chars; a text is rejected if it has no letter or
@@ -288,18 +289,24 @@ def held_out(id_col: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, fit_chars: int = FIT_CHARS) -> dict[str, list[str]]:
-    """The bounded fitting sample: of each language, the first texts in the order of the hash of their ids."""
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & F.length(text_col).between(1, fit_chars))
+    """The bounded fitting sample: of each language, the first texts in the order of the hash of their ids; passages of long texts where short ones are too few."""
+    text, of_id = F.col(text_col).cast("string"), F.col(id_col).cast("string")
+    size = F.length(text)
+    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)) & (size > 0))
+    long = size > fit_chars
     # A hash bound for each language leaves about twice what is wanted, without sorting its rows.
-    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), 32)
-    known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(lang_col).count().collect()
-    bound = [F.when(F.col(lang_col) == r[lang_col], F.lit(min(1 << 32, 1000 + 3 * per_language * (1 << 32) // r["count"]))) for r in known]
+    hashed = F.shiftrightunsigned(F.xxhash64(of_id, F.lit(7)), 32)
+    below = lambda wanted, n: F.lit(min(1 << 32, 1000 + 3 * wanted * (1 << 32) // n) if wanted > 0 and n else 0).cast("long")
+    known = rows.groupBy(lang_col).agg(F.count_if(~long), F.count_if(long)).collect()
+    bound = [F.when(F.col(lang_col) == name, F.when(long, below(per_language - n, m)).otherwise(below(per_language, n))) for name, n, m in known]
     if not bound:
         return {}
-    few = rows.where(hashed < F.coalesce(*bound)).select(lang_col, hashed.alias("h"), F.col(text_col).cast("string").alias("t")).collect()
+    begin = (F.pmod(F.xxhash64(of_id, F.lit(8)), size - fit_chars + 1) + 1).cast("int")
+    passage = F.when(long, F.substring(text, begin, F.lit(fit_chars))).otherwise(text)
+    few = rows.where(hashed < F.coalesce(*bound)).select(lang_col, long.alias("long"), hashed.alias("h"), passage.alias("t")).collect()
     out: dict[str, list] = {}
-    for r in sorted(few, key=lambda r: (r[lang_col], r["h"], r["t"])):
-        have = out.setdefault(r[lang_col], [])
+    for r in sorted(few, key=lambda r: (r[0], r["long"], r["h"], r["t"])):
+        have = out.setdefault(r[0], [])
         if len(have) < per_language:
             have.append(r["t"])
     return out
