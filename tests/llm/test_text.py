@@ -37,3 +37,18 @@ def test_segments_do_not_cut_words(monkeypatch):
     monkeypatch.setattr(text, "SEGMENT", 100)
     parts = text.hash_words(data, offsets)
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_long_words_stay_apart():
+    """Thue-Morse words collide under any polynomial hash modulo 2^64; words that differ in one byte, or in the order of their lanes, stay apart too."""
+    import random
+
+    tm = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = tm.translate(str.maketrans("ab", "ba"))
+    rng = random.Random(1)
+    base = "".join(rng.choice("abcdefgh") for _ in range(64))
+    lanes = [base[i : i + 8] for i in range(0, 64, 8)]
+    every = [tm, other, tm[:1024], other[:1024], tm + "b", base, "".join(reversed(lanes)), "".join(lanes[:1] + lanes[2:3] + lanes[1:2] + lanes[3:])]
+    every += [base[:i] + "x" + base[i + 1 :] for i in range(64)] + [base[:i] for i in range(1, 64)] + ["a" * n for n in range(1, 40)]
+    data, offsets = text.buffers(pa.array(every))
+    assert len(set(text.hash_words(data, offsets)[0].tolist())) == len(set(every))

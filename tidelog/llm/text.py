@@ -14,20 +14,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SEGMENT + (SEGMENT >> 2))
-        have = np.full(size, np.uint64(base), np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[base] = have
-    return have
+_LANE = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,6 +64,26 @@ def _cut(data: np.ndarray, offsets: np.ndarray, at: int) -> int:
     return edge
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word (its first byte, its length) of data, which ends in eight spare bytes.
+
+    A word is cut into lanes of eight bytes. Each lane is mixed, again with its number, and
+    the results are summed: unlike a polynomial modulo 2^64 - which words built from a
+    Thue-Morse sequence make collide, whatever its base - the sum isn't linear in the bytes.
+    """
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))  # the eight bytes from each place on
+    total = mix(eight[start] & _FIRST[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] - 1) >> 3  # lanes after the first
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]])
+        owner = np.repeat(np.arange(len(long)), n)
+        lane = np.arange(len(owner)) - begin[owner] + 1
+        value = eight[start[long][owner] + 8 * lane] & _FIRST[np.minimum(size[long][owner] - 8 * lane, 8)]
+        total[long] += np.add.reduceat(mix(mix(value) + lane.astype(np.uint64) * _LANE), begin)
+    return mix(total + size.astype(np.uint64))
+
+
 def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, shapes: bool = False) -> tuple[np.ndarray, ...]:
     """Hash of every word, and for each text the index of its first word (one more at the end); with `shapes`, also each word's last two bytes and length class as one number."""
     parts, places, shape, n, a = [], [], [], len(data), 0
@@ -91,13 +100,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, shapes
         stop[:-1] &= ~word[1:] | edge[1:-1]
         s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
         if len(s):
-            small = _LOWER[seg] if lower else seg
-            value = small.astype(np.uint64) + np.uint64(1)
-            value *= _power(_BASE, len(seg))[: len(seg)]
-            total = np.zeros(len(seg) + 1, np.uint64)
-            np.cumsum(value, out=total[1:])
-            h = (total[e] - total[s]) * _power(_BASE_INV, len(seg))[s]
-            parts.append(mix(h + (e - s).astype(np.uint64)))
+            small = np.concatenate([_LOWER[seg] if lower else seg, np.zeros(8, np.uint8)])
+            parts.append(_hashes(small, s, e - s))
             places.append(s + a)
             if shapes:
                 last, other = small[e - 1].astype(np.int32), small[np.maximum(e - 2, s)].astype(np.int32)
