@@ -146,10 +146,44 @@ def test_html_without_article_is_not_parted_by_what_is_dropped():
         assert html.extract(page, w) == f"The title\n{words}\nNext part\n{words}"
 
 
+def test_html_time_is_linear():
+    """Markup that never closes, at a size where a quadratic scan would take minutes."""
+    import time
+
+    w = html.fit(html.labelled())
+    for bad in ('<div class="x' * 80000, "<a" * 400000, '<a b=">" ' * 100000 + '"', "<div>" * 100000 + "</section>" * 100000, "<script" * 100000, "<p class='" * 100000, "<!--" * 200000):
+        began = time.process_time()
+        html.extract(bad, w)
+        assert time.process_time() - began < 10
+    assert html.extract("<article><p>a &#0000000065; &#99999999999; &#" + "9" * 9000 + "; &#x41; b", w) == "a A \ufffd \ufffd A b"
+
+
+def test_html_layouts_whose_names_say_nothing():
+    """Held-out pages of the same makes, and layouts of other makes: comments, footers and menus go, all of the article stays."""
+    w = html.fit(html.labelled())
+    right = collections.Counter()
+    for i, (page, _) in enumerate(html.labelled(200, seed=77)):
+        want = [x for p in html.pieces(page) if p[0] == "text" and "zq" in p[1] for x in p[1].split()]
+        right[i % 2] += html.extract(page, w).split() == want
+    assert right[0] >= 97 and right[1] >= 90
+    words = "some ordinary words of the article stand here in a row and a few more of them follow"
+    body = f"<h1>The title of it</h1><p>{words}</p><p>{words}</p><ul><li>first of them</li><li>second of them</li></ul><p>{words}</p>"
+    text = f"The title of it\n{words}\n{words}\nfirst of them\nsecond of them\n{words}"
+    unit = '<div class="k2"><i>Some Body</i> <i>3 days ago</i><p>what a nice thing to read, thank you</p><a href="#r">Reply</a></div>'
+    for page in (
+        f'<body><div class="a1"><a href="/">Site</a><a href="/x">One</a><a href="/y">Two</a></div><div class="a2">{body}</div><div class="a3">{unit * 4}</div><div class="a4">&copy; 2020 Some Site. All rights reserved.</div></body>',
+        f'<body><table><tr><td><a href="/">Home</a><br><a href="/n">News</a></td><td>{body}</td></tr><tr><td>Copyright Some Site and others</td></tr></table></body>',
+        f'<body><section><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></section><section>{body}</section><section><h3>2 comments</h3>{unit * 2}</section><section><p>Copyright 2021</p></section></body>',
+        f'<body><center><div>{body}</div></center><div><div>{unit}</div></div><div><a href=/p>Privacy</a> <a href=/t>Terms</a></div></body>',
+    ):
+        assert html.extract(page, w) == text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (2, None, "<article><p>x y z and more words", 2)], "page_id long, url string, html string, text int")
     got = sorted(map(tuple, html.main_text(df).collect()))
     assert got == [(1, "u", "", 0), (1, "u", "", 0), (2, None, "x y z and more words", 20)]
+    assert html.main_text(df.limit(0)).count() == 0 and html.main_text(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"]
 
 
 @given(st.lists(st.integers(-5, 5), max_size=12))
@@ -247,6 +281,65 @@ def test_langid(spark, docs):
     assert langid.predict(langid.fit({"en": ["a"]}), ["b", None, "1"])[0] == ["en", "und", "und"]
     empty = langid.sample(docs.limit(0))
     assert empty == {}
+    clash = docs.withColumn("Score", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    assert {(r["doc_id"], r["text"], r["lang_pred"], r["score"]) for r in langid.classify(clash, model).collect()} == {(r["doc_id"], r["text"], r["lang_pred"], r["score"]) for r in out}
+
+
+def test_langid_without_labels(spark, docs):
+    for rows in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string")), docs.withColumn("text", F.lit(None).cast("string"))):
+        model = langid.fit(langid.sample(rows))
+        out = langid.classify(rows, model, names=("lang_pred", "score", "accepted")).collect()
+        assert len(out) == rows.count() and all((r["lang_pred"], r["score"], r["accepted"]) == ("und", 0.0, False) for r in out)
+
+
+def test_langid_shares_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS", 60)
+    rows = [(i, f"text {i} of it", f"l{i % 5}", "a") for i in range(400)]
+    assert {k: len(v) for k, v in langid.sample(documents(spark, rows)).items()} == {f"l{k}": 12 for k in range(5)}
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over characters with dictionaries, one gram at a time."""
+
+    def __init__(self, texts, alphabet, order=4):
+        self.order, self.size = order, len(alphabet) + 1
+        padded = ["\x02" * (order - 1) + t.lower() for t in texts]
+        top = collections.Counter(p[i - order + 1 : i + 1] for p in padded for i in range(order - 1, len(p)))
+        self.counts = {order: top}
+        for n in range(order - 1, 0, -1):
+            self.counts[n] = collections.Counter(g[1:] for g in self.counts[n + 1])
+        self.discount = {}
+        for n, c in self.counts.items():
+            ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+            self.discount[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        self.after = {n: collections.defaultdict(list) for n in self.counts}
+        for n, c in self.counts.items():
+            for g, v in c.items():
+                self.after[n][g[:-1]].append(v)
+
+    def p(self, gram):
+        n = len(gram)
+        d, rest = self.discount[n], self.after[n].get(gram[:-1])
+        lower = 1 / self.size if n == 1 else self.p(gram[1:])
+        return lower if rest is None else max(self.counts[n].get(gram, 0) - d, 0) / sum(rest) + d * len(rest) / sum(rest) * lower
+
+    def log(self, text):
+        padded = "\x02" * (self.order - 1) + text.lower()
+        return sum(np.log(self.p(padded[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(padded)))
+
+
+def test_langid_equals_plain_kneser_ney():
+    rows = corpus()
+    samples = {k: [t for _, t, lang, _ in rows[:60] if lang == k] for k in ("de", "en")}
+    model = langid.fit(samples)
+    fitted = {k: [x for i, x in enumerate(v) if i % 4 != 3] for k, v in samples.items()}
+    alphabet = {c for v in fitted.values() for x in v for c in x.lower()} | {"\x02"}
+    plain = {k: PlainKneserNey(v, alphabet) for k, v in fitted.items()}
+    texts = [t for _, t, *_ in rows[:12]] + ["Zebra!! 12", "the ßß river qq", "x", "long " * 400]
+    total, n = langid.totals(model, texts)
+    for i, t in enumerate(texts):
+        assert n[i] == len(t)
+        assert np.allclose(total[i], [plain[k].log("".join(c if c in alphabet else "\0" for c in t.lower())) for k in model.languages], rtol=1e-4, atol=1e-3)
 
 
 def test_langid_samples_long_texts_where_short_ones_are_few(spark):

@@ -14,15 +14,19 @@ symbols are UTF-16 units instead, so that none is merged with another.
 The fit uses a bounded sample of labelled rows: up to PER_LANGUAGE texts of each
 language, of at most FIT_CHARS characters each, in the order of the hash of their ids.
 A language with fewer such texts is filled up with passages of FIT_CHARS characters from
-longer ones, each at a place given by the hash of its id. Every text is scored whole.
+longer ones, each at a place given by the hash of its id. Beyond TEXTS / PER_LANGUAGE
+languages each gets an equal share of TEXTS, LEAST_TEXTS at least. Every text is scored whole.
 
 Rejection: on a part of the sample kept from the fit, each language's cross-entropy
 has a mean and a variance a + b / n_chars; a text is rejected if it has no letter or
-lies over REJECT standard deviations above the mean of its best language.
+lies over REJECT standard deviations above the mean of its best language; its score falls
+with the distance.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; ties go to the
-language first in code-point order; without labelled rows everything is `und`; rows that
-repeat are scored alike; extra columns stay in `classify`.
+language first in code-point order; without labelled rows (an empty table too) there is no
+model and everything is `und`, rejected; rows that repeat are scored alike; very long texts
+are scored in chunks of bounded size; extra columns stay in `classify`, but for those named
+(in any case) like a result, which the result replaces.
 """
 
 from __future__ import annotations
@@ -35,13 +39,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidelog.llm.cluster import column, free
 from tidelog.llm.text import mix
 
 ORDER = 4
 #: Bits of a symbol: ORDER symbols fill 64.
 BITS = 16
 PER_LANGUAGE, FIT_CHARS = 400, 20_000
+TEXTS, LEAST_TEXTS = 40_000, 8
 REJECT = 12.0
 #: Characters of text that are scored at once.
 CHUNK = 1 << 19
@@ -167,8 +174,10 @@ def _symbols(samples: dict[str, list[str]], units: bool) -> np.ndarray:
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    """A model from texts of each language."""
+    """A model from texts of each language; without any, one that knows no language."""
     languages = sorted(samples)
+    if not languages:
+        return Model([], np.zeros(0x110000, np.uint16), [], [], np.zeros((1, 0), np.float32), np.zeros(0), np.zeros((0, 2)))
     kept = {k: [x for i, x in enumerate(v) if i % 4 != 3] or v for k, v in samples.items()}
     held = {k: [x for i, x in enumerate(v) if i % 4 == 3] or v for k, v in samples.items()}
     units, points = False, _symbols(kept, False)
@@ -277,7 +286,9 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
         share = np.exp((total - total.max(axis=1, keepdims=True)) * SHARPNESS)
         score[good] = 1 / share.sum(axis=1)
         ce = -total[np.arange(len(best)), best] / n
-        accepted[good] = ce <= model.mean[best] + REJECT * np.sqrt(model.spread[best, 0] + model.spread[best, 1] / n)
+        far = (ce - model.mean[best]) / (REJECT * np.sqrt(model.spread[best, 0] + model.spread[best, 1] / n))
+        accepted[good] = far <= 1
+        score[good] *= np.exp(np.minimum(0.0, 1 - far))
         for i, b in zip(good, best):
             lang[i] = model.languages[b]
     return lang, score, accepted
@@ -297,7 +308,8 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     # A hash bound for each language leaves about twice what is wanted, without sorting its rows.
     hashed = F.shiftrightunsigned(F.xxhash64(of_id, F.lit(7)), 32)
     below = lambda wanted, n: F.lit(min(1 << 32, 1000 + 3 * wanted * (1 << 32) // n) if wanted > 0 and n else 0).cast("long")
-    known = rows.groupBy(lang_col).agg(F.count_if(~long), F.count_if(long)).collect()
+    known = rows.groupBy(lang_col).agg(F.count_if(~long), F.count_if(long)).collect()  # a row for each language
+    per_language = min(per_language, max(LEAST_TEXTS, TEXTS // max(1, len(known))))
     bound = [F.when(F.col(lang_col) == name, F.when(long, below(per_language - n, m)).otherwise(below(per_language, n))) for name, n, m in known]
     if not bound:
         return {}
@@ -315,14 +327,18 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 def classify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
     """docs with the predicted language, its score and whether it is accepted; rows stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = {n.lower() for n in names}
+    keep = [f for f in docs.schema.fields if f.name.lower() not in own]
+    text, = free(docs, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lang, score, ok = predict(shared.value, batch.column(batch.schema.get_field_index(text_col)).to_pylist())
-            columns = [*batch.columns, pa.array(lang), pa.array(score), pa.array(ok)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
+            *columns, texts = batch.columns
+            lang, score, ok = predict(shared.value, texts.to_pylist())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score), pa.array(ok)], [*batch.schema.names[:-1], *names])
 
-    kinds = ("string", "double", "boolean")
-    return docs.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), *(f"`{n}` {t}" for n, t in zip(names, kinds))]))
+    results = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
+    rows = docs.select(*[column(f.name) for f in keep], column(text_col).cast("string").alias(text))
+    return rows.mapInArrow(run, T.StructType([*keep, *results.fields]))
