@@ -573,7 +573,7 @@ def test_mixing(spark, docs):
 # 10
 
 
-def test_warc(spark):
+def test_warc(spark, monkeypatch):
     long = "é" * 200000
     rows = [(3, "u\r\nx", "a" * 100), (1, None, "a" * 100), (2, "u", "a" * 100), (4, "u", None), (5, "u", ""), (6, "u", "b" * 99), (7, "u", "b" * 99), (8, "u", long), (1, None, "a" * 100), (9, "u", long)]
     df = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, payload_bytes int").repartition(3)
@@ -585,6 +585,9 @@ def test_warc(spark):
         again = len(p) >= 100 and i != first
         want.append((i, len(p), hashlib.sha256(p).hexdigest(), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=lambda r: r[:2])
+    monkeypatch.setattr(warc, "MAP_BITS", 2)  # all bits set: every page is told by the join
+    again = warc.round_trip(df).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, again), key=lambda r: (r[0], r[1])) == got
     assert warc.round_trip(df.limit(0)).count() == 0
 
 

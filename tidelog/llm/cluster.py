@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,26 @@ def release(spark: SparkSession) -> None:
     """Has the driver collect its garbage, with which Spark drops the shuffle files of finished queries."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Bits of the maps below: two megabytes, whatever they are made from.
+MAP_BITS = 1 << 24
+
+
+def bitmap(at: Column, df: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits with the bits `at` of df's rows: built on executors, 4 KB a row, bounded on the driver.
+
+    What a map holds in excess is for its user to tell, by a join of the rows in it.
+    """
+    rows = df.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+    out = np.zeros(MAP_BITS // 8 + 8192, np.uint8)
+    for r in rows:  # buckets are counted from 1; position 0 of bucket 1 is h = 1, and h = 0 is in bucket 0
+        raw = np.frombuffer(r["m"], np.uint8)
+        a = r["b"] * 4096
+        out[a : a + len(raw)] |= raw
+    return out
+
+
+def in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bucket, position = np.where(h > 0, 1 + (h - 1) // 32768, 0), np.where(h > 0, (h - 1) % 32768, 0)
+    return ((bits[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1).astype(bool)

@@ -39,13 +39,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
-from tidelog.llm.cluster import release, written
+from tidelog.llm.cluster import MAP_BITS, bitmap, in_map, release, written
 
 SMALL = 3
 BLOCK = 256
 CHUNK = 1 << 20
-#: Bits of the map of texts whose sets are needed; what it holds in excess is dropped by a join.
-MAP_BITS = 1 << 24
 
 
 @lru_cache(maxsize=None)
@@ -180,33 +178,17 @@ def _map_bit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
 
 
-def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bucket, position = np.where(h > 0, 1 + (h - 1) // 32768, 0), np.where(h > 0, (h - 1) % 32768, 0)
-    return ((bits[bucket * 4096 + position // 8] >> (position % 8).astype(np.uint8)) & 1).astype(bool)
-
-
-def _bitmap(at: Column, df: DataFrame) -> np.ndarray:
-    """A map of MAP_BITS bits with the bits `at` of df's rows: built on executors, 4 KB a row, bounded on the driver."""
-    rows = df.select(at.alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
-    out = np.zeros(MAP_BITS // 8 + 8192, np.uint8)
-    for r in rows:  # buckets are counted from 1; position 0 of bucket 1 is h = 1, and h = 0 is in bucket 0
-        raw = np.frombuffer(r["m"], np.uint8)
-        a = r["b"] * 4096
-        out[a : a + len(raw)] |= raw
-    return out
-
-
 def sets_for(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, whole: bool) -> DataFrame:
     """cls, n and sketch or (whole) items of the wanted classes (column cls), made from one text of each."""
     spark = docs.sparkSession
     one = classes.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("id")).join(wanted, "cls", "left_semi")
     one = written(one, "join-wanted")
-    shared = spark.sparkContext.broadcast(_bitmap(_map_bit("id"), one))
+    shared = spark.sparkContext.broadcast(bitmap(_map_bit("id"), one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            rows = pa.array(np.flatnonzero(_in_map(bits, batch.column(2).to_numpy(zero_copy_only=False))))
+            rows = pa.array(np.flatnonzero(in_map(bits, batch.column(2).to_numpy(zero_copy_only=False))))
             if not len(rows):
                 continue
             ids, texts = batch.column(0).take(rows), batch.column(1).take(rows)
@@ -411,14 +393,14 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     marked = written(marked, "join-kept")
     # Most rows stay and don't repeat. The others are in a map; rows outside it pass where they are, those in it are joined.
     odd = marked.where(~F.col("kept") | (F.col("n") > 1))
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(_map_bit("doc_id", "text_id"), odd))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(_map_bit("doc_id", "text_id"), odd))
     rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": text_id(F.col(text_col))}).withColumn("_bit", _map_bit("_id", "_text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
 
     def passing(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = _in_map(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+                hit = in_map(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(hit == inside))
 
         return rows.mapInArrow(run, schema)

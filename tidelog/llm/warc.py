@@ -13,7 +13,8 @@ and payload digest are still those of the full payload.
 Defined cases: null html is an empty payload; a null url is empty, control characters
 in it are percent-encoded; rows that repeat with the smallest id are all responses; a
 null id is written empty, never chosen for reference, and read as null; an empty table
-gives no archives; extra columns are ignored.
+gives no archives; very long pages are one record each, and one of them is held at a time;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ import struct
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.cluster import fresh_dir, tasks, written
+from tidelog.llm.cluster import MAP_BITS, bitmap, column, fresh_dir, in_map, tasks, written
 
 MAGIC = 0x184D2A5D
 LEAST = 100
@@ -37,7 +39,7 @@ LEAST = 100
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 8192, 32768
 #: A new archive is begun beyond so many bytes.
 ARCHIVE_BYTES = 32 << 20
-BATCH_ROWS = 500
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 DATE = "2000-01-01T00:00:00Z"
 OUT = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -62,9 +64,13 @@ def leading_frame(trained: bytes) -> bytes:
 
 
 def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    digest = hashlib.sha256(payload).hexdigest()
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (payload if refers_to is None else b"")
+    """The record of a page: a response, or a revisit of another page."""
+    return framed(page_id, url, payload if refers_to is None else b"", len(payload), hashlib.sha256(payload).hexdigest(), refers_to, date)
+
+
+def framed(page_id: int | None, url: str, kept: bytes, size: int, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+    """A record of a payload of `size` bytes and this digest, of which `kept` (all, or of a revisit nothing) follows."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + kept
     name = lambda i: f"<urn:page:{'' if i is None else i}>"
     safe = "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in url)
     head = [
@@ -150,18 +156,58 @@ def records(source) -> Iterator[bytes]:
 
 
 def marked(pages: DataFrame, least: int = LEAST, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html, refers_to: null for responses. Only digests that occur twice are joined; a hot one is split by adaptive skew joins."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    digest = F.sha2(html.cast("binary"), 256)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"), digest.alias("_digest"))
-    slim = pages.where(F.octet_length(html) >= least).select(F.col(id_col).cast("long").alias("page_id"), digest.alias("_digest"))
-    first = slim.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    again = F.col("page_id").isNull() | (F.col("page_id") != F.col("_first"))
-    return rows.join(first, "_digest", "left").select("page_id", "url", "html", F.when(again, F.col("_first")).alias("refers_to"))
+    """page_id, url, html (null for revisits), payload_bytes, payload_digest, refers_to (null for responses).
+
+    What is shuffled is ids, addresses and digests: they make the revisits, whose records
+    need no payload. Pages stay where they are. A bitmap of the revisits' ids and digests
+    says which pages may be revisits, a second one which of those may be none; pages that
+    are in both are told by a join, all others need none.
+    """
+    html = F.coalesce(column(html_col).cast("string"), F.lit(""))
+    rows = pages.select(
+        column(id_col).cast("long").alias("page_id"), F.coalesce(column(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"),
+        F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html.cast("binary"), 256).alias("payload_digest"),
+    )
+    slim = written(rows.where(F.col("payload_bytes") >= least).drop("html"), "warc-digests")
+    # Only digests that occur twice are joined; a hot one is split by adaptive skew joins.
+    first = slim.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    again = F.col("refers_to").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("refers_to")))
+    revisits = written(slim.join(first, "payload_digest").where(again).select("page_id", "url", "payload_bytes", "payload_digest", "refers_to"), "warc-revisits")
+    null = F.col("page_id").isNull()
+    known = {"_id": F.coalesce("page_id", F.lit(0).cast("long")), "_null": null}
+    key = ["payload_digest", "_id", "_null"]
+    marks = revisits.withColumns(known).select(*key).distinct()
+    bits = {f"_{k}": F.pmod(F.xxhash64(F.col("page_id"), F.col("payload_digest"), F.lit(k)), F.lit(MAP_BITS)) for k in (1, 2)}
+    maps = [bitmap(F.col("_1"), revisits.withColumns(bits))]
+    shared = pages.sparkSession.sparkContext.broadcast(maps[0])
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_map(shared.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))))
+
+    doubtful = slim.withColumns(bits).select("page_id", "payload_digest", "_2", "_1").mapInArrow(hits, "page_id long, payload_digest string, _2 long, _1 long")
+    maps.append(bitmap(F.col("_2"), doubtful.withColumns(known).join(marks, key, "left_anti")))
+    both = pages.sparkSession.sparkContext.broadcast(maps)
+
+    def part(certain: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                size, one, two = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5, 6))
+                may = (size >= least) & in_map(both.value[0], one)
+                rows = np.flatnonzero(~may if certain else may & in_map(both.value[1], two))
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([c if len(rows) == batch.num_rows else c.take(pa.array(rows)) for c in batch.columns[:5]], batch.schema.names[:5])
+
+        return rows.withColumns(bits).mapInArrow(run, "page_id long, url string, html string, payload_bytes long, payload_digest string")
+
+    told = part(False).withColumns(known).join(marks, key, "left_anti")
+    names = ["page_id", "url", "html", "payload_bytes", "payload_digest"]
+    responses = part(True).union(told.select(*names)).withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.union(revisits.select("page_id", "url", F.lit(None).cast("string").alias("html"), "payload_bytes", "payload_digest", "refers_to"))
 
 
 def write(rows: DataFrame, folder: str, trained: bytes = b"", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes page_id, url, html, refers_to as archives under folder; path and records of each.
+    """Writes the rows of `marked` as archives under folder; path and records of each.
 
     Names are new in each attempt of a task, and the result is a written table, so an
     archive of a lost or repeated task is never listed.
@@ -173,12 +219,12 @@ def write(rows: DataFrame, folder: str, trained: bytes = b"", archive_bytes: int
         packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(trained)) if trained else zstandard.ZstdCompressor(level=3)
         out, path, n, done = None, "", 0, []
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(i) for i in range(4))):
+            for page_id, url, html, size, digest, refers_to in zip(*(batch.column(i) for i in range(6))):
                 if out is None:
                     path, n = f"{base}/{uuid.uuid4().hex}.warc.zst", 0
                     out = store.open_output_stream(path)
                     out.write(leading_frame(trained))
-                out.write(packer.compress(record(page_id.as_py(), url.as_py(), html.as_py().encode(), refers_to.as_py())))
+                out.write(packer.compress(framed(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), size.as_py(), digest.as_py(), refers_to.as_py())))
                 n += 1
                 if out.tell() >= archive_bytes:
                     out.close()
@@ -190,15 +236,17 @@ def write(rows: DataFrame, folder: str, trained: bytes = b"", archive_bytes: int
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done]), pa.array([x[1] for x in done], pa.int64())], ["path", "records"])
 
-    # Pages are long: a thousand rows in a batch are some megabytes, ten thousand (the default) too many beside the sort.
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(min(BATCH_ROWS, int(before))) if int(before) > 0 else str(BATCH_ROWS))
+    # A batch holds BATCH_BYTES, or one page that is longer.
+    conf, limits = rows.sparkSession.conf, {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: conf.get(k) for k in limits}
+    for k, v in limits.items():
+        conf.set(k, str(v))
     try:
         listed = rows.mapInArrow(put, "path string, records long")
         return written(listed.repartition(1 + tasks(rows.sparkSession) // 64), "warc-list")  # a row for each archive: a few files
     finally:
-        conf.set(name, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 def read(archives: DataFrame, folder: str) -> DataFrame:
