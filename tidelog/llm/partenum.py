@@ -20,11 +20,17 @@ in features, rule most pairs out; the others are verified on whole sets, unless
 in one component by then. So no pair that a signature brings together goes unseen, and
 no task or row holds a group of unbounded size.
 
-Features and classes are told apart by 64-bit hashes.
+Features are told apart by 64-bit hashes: of n distinct n-grams, two share one with
+probability n^2 / 2^65, which changes a verdict only where they stand in two sets of one
+comparison. Classes have 64-bit names too, but an equal name alone makes no class: a
+second, independent 64-bit name is compared for every class, and where two sets share only
+the first, they get names of their own (probability of a false equality: n^2 / 2^129).
 
 Defined cases: null, empty and wordless texts have empty sets, linked with nothing;
 texts with fewer words than the n-gram are one feature; rows that repeat are one class;
-an empty table gives an empty result; a null id can't name a component that has another.
+an empty table gives an empty result; a null id can't name a component that has another;
+very long texts are one set each, held by one task at a time; extra columns, whatever
+their names, are ignored by `components` and kept by `representatives`.
 """
 
 from __future__ import annotations
@@ -39,7 +45,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
-from tidelog.llm.cluster import MAP_BITS, bitmap, in_map, release, written
+from tidelog.llm.cluster import MAP_BITS, bitmap, column, free, in_map, release, written
+from tidelog.llm.graph import components_of, spread_join
 
 SMALL = 3
 BLOCK = 256
@@ -78,16 +85,31 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
 
 
-def class_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name of each set; 0 for the empty one."""
+#: Renamed classes: (name, second name) -> name.
+Apart = dict[tuple[int, int], int]
+
+
+def class_of(sets: list[np.ndarray], apart: Apart | None = None) -> np.ndarray:
+    """A 64-bit name of each set; 0 for the empty one. apart: names of sets that share a first name."""
+    one, two = names_of(sets)
+    if apart:
+        for i in np.flatnonzero(np.isin(one, np.array([k[0] for k in apart], np.int64))):
+            one[i] = apart.get((int(one[i]), int(two[i])), one[i])
+    return one
+
+
+def names_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit names of each set; 0 for the empty one."""
     n = np.array([len(x) for x in sets], np.int64)
     if not n.sum():
-        return np.zeros(len(sets), np.int64)
-    every = words.mix(np.concatenate(sets) ^ np.uint64(0x1F83D9ABFB41BD6B))
-    begin = np.r_[0, np.cumsum(n)]
-    total = np.r_[np.uint64(0), np.cumsum(every)]
-    name = words.mix(total[begin[1:]] - total[begin[:-1]] + n.astype(np.uint64))
-    return np.where(n > 0, name, np.uint64(0)).view(np.int64)
+        return np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
+    every, begin = np.concatenate(sets), np.r_[0, np.cumsum(n)]
+    out = []
+    for seed in (0x1F83D9ABFB41BD6B, 0x9B05688C2B3E6C1F):
+        total = np.r_[np.uint64(0), np.cumsum(words.mix(every ^ np.uint64(seed)))]
+        name = words.mix(total[begin[1:]] - total[begin[:-1]] + n.astype(np.uint64))
+        out.append(np.where(n > 0, np.maximum(name, np.uint64(1)), np.uint64(0)).view(np.int64))
+    return out[0], out[1]
 
 
 def signatures(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,19 +164,44 @@ def text_id(text: Column) -> Column:
 
 
 def classified(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_id (a hash of the text), n_shingles, cls of the columns doc_id and text."""
+    """doc_id, text_id (a hash of the text), n_shingles, cls, second (the names of its set) of the columns doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = words.buffers(batch.column(1))
             for a, b in _chunks(data, offsets):
                 sets = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(class_of(sets))], ["doc_id", "text_id", "n_shingles", "cls"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, names_of(sets))], ["doc_id", "text_id", "n_shingles", "cls", "second"])
+
+    return docs.select("doc_id", "text", text_id(F.col("text"))).mapInArrow(run, "doc_id long, text_id long, n_shingles long, cls long, second long")
 
-    return docs.select("doc_id", "text", text_id(F.col("text"))).mapInArrow(run, "doc_id long, text_id long, n_shingles long, cls long")
 
+#: Sets that share a first name: of 10^12 classes, some 27,000 pairs are to be expected.
+MOST_APART = 1 << 20
 
-def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+
+def told_apart(classes: DataFrame) -> tuple[DataFrame, DataFrame, Apart]:
+    """(classes, owners: cls and the least doc_id of each class, the names of sets that share a first name)."""
+    owners = written(classes.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("id"), F.min("second").alias("low"), F.max("second").alias("high")), "join-owners")
+    odd = owners.where("low <> high").select("cls")
+    if not odd.take(1):
+        return classes.drop("second"), owners.select("cls", "id"), {}
+    rows = classes.join(F.broadcast(odd), "cls", "left_semi").select("cls", "second").distinct().limit(MOST_APART + 1).collect()
+    if len(rows) > MOST_APART:
+        raise ValueError("more shared names than chance can make")
+    taken, apart = set(), {}
+    for cls, second in sorted(map(tuple, rows)):
+        name = int(words.mix(np.array([cls, second], np.int64).view(np.uint64)).sum() & np.uint64((1 << 63) - 1)) or 1
+        while name in taken:
+            name += 1
+        taken.add(name)
+        apart[cls, second] = name
+    names = F.broadcast(classes.sparkSession.createDataFrame([(*k, v) for k, v in apart.items()], "cls long, second long, name long"))  # MOST_APART rows at most
+    classes = written(classes.join(names, ["cls", "second"], "left").withColumn("cls", F.coalesce("name", "cls")).drop("name", "second"), "join-classes")
+    return classes, classes.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("id")), apart
+
+
+def signed(docs: DataFrame, width: int, num: int, den: int, apart: Apart) -> DataFrame:
     """sig, cls, ask: the signatures of each class that a task meets, once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +210,7 @@ def signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             data, offsets = words.buffers(batch.column(0))
             for a, b in _chunks(data, offsets):
                 sets = sets_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                names = class_of(sets)
+                names = class_of(sets, apart)
                 new = [i for i, c in enumerate(names.tolist()) if c and c not in done and not done.add(c)]
                 if new:
                     s, i, ask = signatures([sets[k] for k in new], num, den)
@@ -178,11 +225,10 @@ def _map_bit(*columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(MAP_BITS))
 
 
-def sets_for(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int, whole: bool) -> DataFrame:
+def sets_for(docs: DataFrame, owners: DataFrame, wanted: DataFrame, width: int, whole: bool, apart: Apart) -> DataFrame:
     """cls, n and sketch or (whole) items of the wanted classes (column cls), made from one text of each."""
     spark = docs.sparkSession
-    one = classes.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("id")).join(wanted, "cls", "left_semi")
-    one = written(one, "join-wanted")
+    one = written(owners.join(wanted, "cls", "left_semi"), "join-wanted")
     shared = spark.sparkContext.broadcast(bitmap(_map_bit("id"), one))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +246,7 @@ def sets_for(docs: DataFrame, classes: DataFrame, wanted: DataFrame, width: int,
                     value = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
                 else:
                     value = pa.array([sketch(x) for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(class_of(sets)), pa.array(n), value], ["id", "cls", "n", "items" if whole else "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(class_of(sets, apart)), pa.array(n), value], ["id", "cls", "n", "items" if whole else "sketch"])
 
     found = docs.select("doc_id", "text", _map_bit("doc_id").alias("h")).mapInArrow(run, "id long, cls long, n long, " + ("items array<long>" if whole else "sketch binary"))
     return found.join(one.select("cls"), "cls", "left_semi").drop("id").dropDuplicates(["cls"])
@@ -211,25 +257,8 @@ def _linked(a: str, b: str, num: int, den: int):
     return den * both >= num * (F.size(a) + F.size(b) - both)
 
 
-def components_of(edges: DataFrame) -> DataFrame:
-    """v, root (the least vertex that edges a - b reach) by alternating large and small stars."""
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    state = None
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), "star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = written(small.distinct(), "star")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state:
-            return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "v")
-        state = now
-
-
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with lab: the root of cls."""
     return rows.join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("lab", F.coalesce("root", "cls")).drop("root")
 
 
@@ -301,23 +330,24 @@ def _cell_pairs(num: int, den: int):
     return run
 
 
-def proven(pairs: DataFrame, sets_of_: Callable[[DataFrame], DataFrame], num: int, den: int, known: DataFrame | None = None) -> DataFrame:
-    """known, and links among the pairs, verified on whole sets, so that all the pairs' links are within its components.
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: those of the pairs (c, cls) that are links, by their whole sets."""
+    full, other = sets.select("cls", "items"), sets.select(F.col("cls").alias("c"), F.col("items").alias("others"))
+    found = pairs.join(full, "cls").join(other, "c").where(_linked("items", "others", num, den))
+    return written(found.select(F.col("c").alias("a"), F.col("cls").alias("b")), "join-links")
+
+
+def proven(pairs: DataFrame, sets_of_: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Links among the pairs, enough of them to give all components that the pairs' links make.
 
     Each class is compared with one other first; pairs that this puts in one component needn't be.
     """
     sets = written(sets_of_(pairs.select("cls").union(pairs.select(F.col("c").alias("cls"))).distinct()), "join-sets")
-    full, other = sets.select("cls", "items"), sets.select(F.col("cls").alias("c"), F.col("items").alias("others"))
-
-    def verified(rows: DataFrame) -> DataFrame:
-        found = rows.join(full, "cls").join(other, "c").where(_linked("items", "others", num, den))
-        return written(found.select(F.col("c").alias("a"), F.col("cls").alias("b")), "join-links")
-
-    one = verified(pairs.groupBy("cls").agg(F.min("c").alias("c")))
-    have = one if known is None else known.union(one)
-    roots = written(components_of(have), "join-roots")
+    one = verified(pairs.groupBy("cls").agg(F.min("c").alias("c")), sets, num, den)
+    roots = components_of(one)
     far = _labelled(pairs, roots).withColumnRenamed("lab", "x").join(roots.toDF("c", "root"), "c", "left").where(F.col("x") != F.coalesce("root", "c"))
-    return have.union(verified(far.select("c", "cls")))
+    far = written(far.select("c", "cls"), "join-pairs")
+    return one.union(verified(far, sets, num, den)) if far.take(1) else one
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -338,21 +368,22 @@ def rare(met: DataFrame) -> DataFrame:
     return met.withColumn("_k", F.row_number().over(by)).where(F.col("_k") >= F.shiftright("ask", 1)).drop("_k", "c")
 
 
-def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """a, b: links between classes, enough of them to give all components."""
-    met = written(grouped(signed(docs, width, num, den)), "join-met")
+def roots_of(docs: DataFrame, owners: DataFrame, width: int, num: int, den: int, apart: Apart) -> DataFrame:
+    """v, root: the least class of the component of each class that isn't the least itself."""
+    met = written(grouped(signed(docs, width, num, den, apart)), "join-met")
     release(docs.sparkSession)  # of the signatures most are met once; their shuffle files are the largest there are
     met = written(grouped(rare(met)), "join-met")
-    release(docs.sparkSession)
     pairs = written(met.where("cls <> c").select("c", "cls").distinct(), "join-pairs")
     wanted = pairs.select("cls").union(pairs.select(F.col("c").alias("cls"))).distinct()
-    sets = written(sets_for(docs, classes, wanted, width, False), "join-sketches")
-    whole = lambda some: sets_for(docs, classes, some, width, True)
-    first = proven(written(close(pairs, sets, num, den), "join-close"), whole, num, den)
+    sets = written(sets_for(docs, owners, wanted, width, False, apart), "join-sketches")
+    whole = lambda some: sets_for(docs, owners, some, width, True, apart)
+    first = components_of(proven(written(close(pairs, sets, num, den), "join-close"), whole, num, den))
     # Signatures whose classes, the least one apart, are still in several components. Home: where a class's block is.
-    open_ = _labelled(met.where("cls <> c"), components_of(first))
+    open_ = _labelled(met.where("cls <> c"), first)
     mixed = open_.groupBy("sig").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select("sig")
     rest = written(open_.join(mixed, "sig", "left_semi"), "join-open")
+    if not rest.take(1):
+        return first
     # The least that any class under one of its signatures meets: then those that meet often share a home, and blocks are full.
     least = rest.groupBy("cls").agg(F.min("c").alias("home"))
     near = rest.select("sig", "cls").join(least, "cls").groupBy("sig").agg(F.min("home").alias("home"))
@@ -363,18 +394,31 @@ def links(docs: DataFrame, classes: DataFrame, width: int, num: int, den: int) -
     cells = at.join(at.withColumnRenamed("block", "other"), "sig").where("block <= other").select("block", "other").distinct()
     rows = cells.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("own")).join(home.withColumnRenamed("block", "own"), "own").join(sets.select("cls", "n", "sketch"), "cls")
     second = rows.select("block", "other", "cls", "lab", "n", "sketch").groupBy("block", "other").applyInArrow(_cell_pairs(num, den), "c long, cls long")
-    return proven(written(second.distinct(), "join-close"), whole, num, den, first)
+    second = written(second.distinct(), "join-close")
+    if not second.take(1):
+        return first
+    new = proven(second, whole, num, den)
+    if not new.take(1):
+        return first
+    # The new links join the roots of the first components.
+    up = first.toDF("b", "y")
+    over = _labelled(new.select(F.col("b"), F.col("a").alias("cls")), first).join(up, "b", "left").select(F.col("lab").alias("a"), F.coalesce("y", "b").alias("b"))
+    more = components_of(over)
+    moved = first.join(more.toDF("root", "top"), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    return written(moved.union(more), "join-roots")
 
 
 def components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, text_id, n_shingles, cls (its class of equal sets), component_id (the least id that links reach, its own included)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    classes = written(classified(rows, width), "join-classes")
-    roots = components_of(links(rows, classes, width, num, den))
-    named = _labelled(classes.where("cls <> 0"), roots)
-    least = named.groupBy("lab").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "lab").select("doc_id", "text_id", "n_shingles", "cls", "component_id")
-    return linked.union(classes.where("cls = 0").select("doc_id", "text_id", "n_shingles", "cls", F.col("doc_id").alias("component_id")))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    classes, owners, apart = told_apart(written(classified(rows, width), "join-classes"))
+    roots = roots_of(rows, owners, width, num, den, apart)
+    # By class first: a giant component is many rows of one label, and copies many of one class.
+    named = written(_labelled(owners, roots), "join-named")
+    named = spread_join(named, named.groupBy("lab").agg(F.min("id").alias("component_id")), "lab").select("cls", "component_id")
+    own = ["doc_id", "text_id", "n_shingles", "cls", "component_id"]
+    linked = spread_join(classes.where("cls <> 0"), written(named, "join-named"), "cls").select(*own)
+    return linked.union(classes.where("cls = 0").withColumn("component_id", F.col("doc_id")).select(*own))
 
 
 def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -394,8 +438,11 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     # Most rows stay and don't repeat. The others are in a map; rows outside it pass where they are, those in it are joined.
     odd = marked.where(~F.col("kept") | (F.col("n") > 1))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(_map_bit("doc_id", "text_id"), odd))
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": text_id(F.col(text_col))}).withColumn("_bit", _map_bit("_id", "_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    ours = free(docs, "id", "text_id", "bit", "null")
+    id_, text_, bit, null = ours
+    rows = docs.select("*", column(id_col).cast("long").alias(id_), text_id(column(text_col)).alias(text_))
+    rows = rows.withColumn(bit, _map_bit(id_, text_))
+    schema = rows.schema
 
     def passing(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +452,8 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
         return rows.mapInArrow(run, schema)
 
-    whole_key = {"_id": F.coalesce("_id", F.lit(0).cast("long")), "_null": F.col("_id").isNull()}
-    kept = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text")).withColumns(whole_key)
-    joined = passing(True).withColumns(whole_key).join(kept, ["_id", "_text", "_null"], "left_semi").dropDuplicates(["_id", "_text", "_null"])
-    return passing(False).select(*docs.columns).union(joined.select(*docs.columns))
+    whole_key = {id_: F.coalesce(id_, F.lit(0).cast("long")), null: F.col(id_).isNull()}
+    kept = marked.where("kept").select(F.col("doc_id").alias(id_), F.col("text_id").alias(text_)).withColumns(whole_key)
+    joined = passing(True).withColumns(whole_key).join(kept, [id_, text_, null], "left_semi").dropDuplicates([id_, text_, null])
+    own = [column(c) for c in docs.columns]
+    return passing(False).select(*own).union(joined.select(*own))
