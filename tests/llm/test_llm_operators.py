@@ -9,6 +9,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -446,6 +447,38 @@ def test_forward_backward_equals_enumeration():
     assert hmm.expected(better, texts)[3] >= before
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(9)
+    h, m = 3, 6
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = hmm.Model(norm(rng.random(h), 0), norm(rng.random((h, h)), 1), norm(rng.random((m, h)), 0))
+    texts = [rng.integers(0, m, n).astype(np.int32) for n in (1, 5, 50, 97, 100)]
+    whole = hmm.expected(model, texts)
+    logs = [hmm.forward(model, [x])[0] for x in texts]
+    for chunk in (7, 10, 99):
+        monkeypatch.setattr(hmm, "CHUNK", chunk)
+        assert all(np.allclose(a, b) for a, b in zip(whole, hmm.expected(model, texts)))
+        assert np.allclose(logs, [hmm._long_forward(model, x) for x in texts])
+
+
+def test_training_is_aggregated(spark, docs, monkeypatch):
+    """The sums over tasks are those of all texts at once, however the rows are dealt; every pass over all texts gains."""
+    monkeypatch.setattr(hmm, "HEAD", 24)
+    monkeypatch.setattr(hmm, "OWN", 10)
+    rows = docs.select("doc_id", F.lit(False).alias("held_out"), "text")
+    counts = hmm.count_words(rows)
+    known = hmm.head(counts, rows.count())
+    seen = hmm.encode(rows, known).cache()
+    model = hmm.begin(known)
+    symbols = hmm.unpacked(pa.array([r["symbols"] for r in seen.select("symbols").collect()], pa.binary()))
+    last = -np.inf
+    for n in (1, 7, 3):
+        got = hmm.aggregated(seen.repartition(n), model)
+        want = hmm.expected(model, symbols)
+        assert all(np.allclose(a, b) for a, b in zip(got, want)) and got[4] == sum(map(len, symbols)) and got[3] > last
+        last, model = got[3], hmm.Model(got[0] / got[0].sum(), got[1] / got[1].sum(axis=1, keepdims=True), got[2] / got[2].sum(axis=0))
+
+
 def test_lm_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 24)
     monkeypatch.setattr(hmm, "OWN", 10)
