@@ -71,6 +71,31 @@ def test_search(spark):
     assert mih.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_takes_finite_vectors_of_any_size(spark):
+    rows = [(0, [1e-170, 0.0]), (20, [1e200, 1.0]), (1, [5e-324, 5e-324]), (2, [1.7e308, -1.7e308]), (3, [1.0, 1.0]), (4, [0.0, 0.0]), (5, [float("inf"), 0.0])]
+    got = [tuple(r) for r in mih.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    good = {i: np.array(v) for i, v in rows if i < 4 or i == 20}
+    with np.errstate(over="ignore"):
+        want = [(q, i, float((good[q] * v).sum())) for q in (0, 20) for i, v in good.items() if i != q]
+    want.sort(key=lambda r: (r[0], -r[2], r[1]))
+    assert [(q, i, s) for q, _, i, s in got] == want and [r for _, r, *_ in got] == [1, 2, 3, 4] * 2
+
+
+@given(st.integers(0, 2**32), st.integers(0, 60))
+@settings(max_examples=40, deadline=None)
+def test_probes_retrieve_every_code_within_the_radius(seed, radius):
+    """And at small radii few others: it is the probing that finds them."""
+    rng = np.random.default_rng(seed)
+    have = rng.integers(0, 256, (300, 16), dtype=np.uint8)
+    asked = np.ascontiguousarray(have[:40])
+    asked[:, rng.integers(0, 16)] ^= rng.integers(0, 256, 40, dtype=np.uint8)
+    far = np.bitwise_count(asked[:, None] ^ have).sum(axis=2)
+    tables = mih.Tables(have)
+    assert sorted(zip(*map(np.ndarray.tolist, tables.within(asked, radius)))) == sorted(zip(*map(np.ndarray.tolist, np.nonzero(far <= radius))))
+    found, visits = tables.retrieved(asked, radius)
+    assert visits >= found.sum() and (radius > 15 or found.mean() < 0.1)
+
+
 def test_radii_are_pigeonholes():
     for radius in range(0, 60):
         for tables in (4, 16):

@@ -12,14 +12,20 @@ The radius is calibrated on the sample: that within which the RECALL share of ne
 lies that are as rare in the sample as the k nearest are among all vectors. Vectors of
 unequal length are lifted by one component, so that large inner products are small angles.
 
-Vectors and queries meet in blocks (each block of vectors with each block of queries),
-and each block's k best are merged. Of equal vectors in a block, only the k + 1 smallest
-ids can matter.
+Vectors and queries meet in blocks (each block of vectors with each block of queries): the
+tables of a block are built once, and only vectors that probes retrieve are compared, first
+by their codes, then by their floats. Each block's k best are merged. Of equal vectors in a
+block, only the k + 1 smallest ids can matter.
+
+Codes are made from vectors scaled by the largest component there is, so finite vectors of
+any size take part. A product beyond the range of doubles is infinite, as it is in double
+precision; one that isn't a number (opposite infinities) comes last.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without an id; of rows that repeat an id
 the least vector counts; with fewer than k candidates all that are found are returned;
-ties go to the smaller id.
+ties go to the smaller id; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +37,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.cluster import written
+from tidelog.llm.cluster import column, written
 
 BITS, SUB = 128, 8
 SAMPLE, TURNS, RECALL = 4096, 30, 0.985
 BLOCK, QUERY_BLOCK = 4096, 4096
+#: Bits in which two values of a substring differ.
+_APART = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8))
 
 
 class Codes:
-    """Learned rotations, and the radius for neighbours as rare as k among n."""
+    """Learned rotations, and the radius for neighbours as rare as k among n. largest: the largest component; top: the greatest length, as a multiple of it."""
 
-    def __init__(self, sample: np.ndarray, top: float, k: int, n: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, largest: float, top: float, k: int, n: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.top = top
+        self.largest, self.top = largest, top
         x = self.lifted(sample)
         self.mean = x.mean(axis=0) if len(x) > 1 else np.zeros(x.shape[1])
         centred = x - self.mean
@@ -64,12 +72,14 @@ class Codes:
         self.radius = self._radius(sample, k, n)
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
+        x = x / self.largest
         rest = np.sqrt(np.maximum(0.0, self.top**2 - (x * x).sum(axis=1, keepdims=True)))
         return np.concatenate([x, rest], axis=1) / self.top
 
     def of(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         """Codes as bytes. A query has no lifted component."""
         if query:
+            x = x / np.abs(x).max(axis=1, keepdims=True)
             x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], axis=1)
         else:
             x = self.lifted(x)
@@ -79,7 +89,7 @@ class Codes:
         asked = sample[:512]
         if len(sample) < 64:
             return BITS
-        score = asked @ sample.T
+        score = (asked / self.largest) @ (sample / self.largest).T
         score[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
         m = max(1, ceil(k * len(sample) / max(n, 1)))
         near = np.argsort(-score, axis=1)[:, : min(m, len(sample) - 1)]
@@ -95,26 +105,37 @@ def radii(radius: int, tables: int) -> np.ndarray:
     return out  # -1: that table needn't be probed
 
 
-def candidates(asked: np.ndarray, have: np.ndarray, radius: int) -> np.ndarray:
-    """queries x vectors: whether the code lies within the radius, by probing the substring tables."""
-    found = np.zeros((len(asked), len(have)), bool)
-    value = np.arange(256, dtype=np.uint8)
-    apart = np.bitwise_count(value[:, None] ^ value)
-    for t, r in enumerate(radii(radius, asked.shape[1])):
-        if r < 0:
-            continue
-        order = np.argsort(have[:, t], kind="stable")
-        begin = np.searchsorted(have[order, t], np.arange(257))
-        lists = [order[a:b] for a, b in zip(begin, begin[1:])]
-        for v in np.unique(asked[:, t]):
-            probes = [lists[p] for p in np.flatnonzero(apart[v] <= r) if len(lists[p])]
-            if probes:
-                found[np.ix_(np.flatnonzero(asked[:, t] == v), np.concatenate(probes))] = True
-    a, b = asked.view(np.uint64), have.view(np.uint64)
-    far = np.zeros(found.shape, np.uint8 if BITS < 256 else np.uint16)
-    for lane in range(a.shape[1]):
-        far += np.bitwise_count(a[:, lane, None] ^ b[None, :, lane])
-    return found & (far <= radius)
+class Tables:
+    """The substring tables of codes (bytes): from each value of each substring to the codes that have it."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.order = [np.argsort(codes[:, t], kind="stable") for t in range(codes.shape[1])]
+        self.begin = [np.searchsorted(codes[o, t], np.arange(257)) for t, o in enumerate(self.order)]
+
+    def retrieved(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, int]:
+        """queries x codes: whether a probe of some table reaches the code; how many entries the probes visit."""
+        found, visits = np.zeros((len(asked), len(self.codes)), bool), 0
+        for t, r in enumerate(radii(radius, asked.shape[1])):
+            if r < 0:
+                continue
+            order, begin = self.order[t], self.begin[t]
+            for v in np.unique(asked[:, t]):
+                rows = np.flatnonzero(asked[:, t] == v)
+                reached = np.concatenate([order[begin[p] : begin[p + 1]] for p in np.flatnonzero(_APART[v] <= r)])
+                found[np.ix_(rows, reached)] = True
+                visits += len(rows) * len(reached)
+        return found, visits
+
+    def within(self, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, code) of all pairs within the radius: those retrieved, less those whose whole codes are further apart."""
+        i, j = np.nonzero(self.retrieved(asked, radius)[0])
+        far = np.zeros(len(i), np.uint16)
+        a, b = (np.ascontiguousarray(x).view(np.uint64) for x in (asked, self.codes))
+        for lane in range(a.shape[1]):
+            far += np.bitwise_count(a[i, lane] ^ b[j, lane])
+        near = far <= radius
+        return i[near], j[near]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -122,20 +143,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     v = F.col("v")
-    sums = F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + x * x)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    rows = rows.withColumn("s", sums).where("s > 0 and s < double('Infinity')")
-    index = written(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.min(F.struct("v", "s")).alias("b")).select("vec_id", "v", F.col("b.s").alias("s"), is_query.alias("q")), "mih-vectors")
-    sizes = index.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("nq"), F.max("s").alias("s")).orderBy(F.col("n").desc(), "d").first()
+    rows = vectors.select(column(id_col).cast("long").alias("vec_id"), column(vector_col).cast("array<double>").alias("v"))
+    rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0))
+    index = written(rows.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.array_max(F.transform("v", lambda x: F.abs(x))).alias("m"), is_query.alias("q")), "mih-vectors")
+    sizes = index.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("nq"), F.max("m").alias("m")).orderBy(F.col("n").desc(), "d").first()
     if not sizes or not sizes["nq"]:
         return spark.createDataFrame([], schema)
-    d, n, n_queries, top = sizes["d"], sizes["n"], sizes["nq"], float(np.sqrt(sizes["s"]))
+    d, n, n_queries, largest = sizes["d"], sizes["n"], sizes["nq"], sizes["m"]
     index = index.where(F.size("v") == d)
+    square = F.aggregate(F.transform("v", lambda x: x / F.lit(largest)), F.lit(0.0), lambda a, x: a + x * x)
+    top = float(np.sqrt(index.agg(F.max(square)).first()[0]))
     bound = min(1.0, 1.5 * SAMPLE / n)
     few = index.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 40) < int(bound * (1 << 24))).select("v").limit(3 * SAMPLE).collect()
     sample = np.array([r["v"] for r in few], np.float64).reshape(-1, d)
-    shared = spark.sparkContext.broadcast(Codes(sample, top, k, n))
+    shared = spark.sparkContext.broadcast(Codes(sample, largest, top, k, n))
     blocks, query_blocks = ceil(n / BLOCK), ceil(n_queries / QUERY_BLOCK)
 
     def code(batches):
@@ -169,19 +190,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
             place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
             keep = np.sort(order[place <= k])
             x, ids, codes = x[keep], ids[keep], codes[keep]
-            radius = shared.value.radius
+            radius, tables = shared.value.radius, Tables(np.ascontiguousarray(codes))
             for a in range(0, len(q), 256):
-                near = candidates(np.ascontiguousarray(q_codes[a : a + 256]), np.ascontiguousarray(codes), radius)
-                for i in range(len(near)):
-                    at = np.flatnonzero(near[i])
-                    at = at[ids[at] != q_ids[a + i]]
-                    score = (x[at] * q[a + i]).sum(axis=1)
-                    best = np.lexsort((ids[at], -score))[:k]
-                    out.append((np.full(len(best), q_ids[a + i]), ids[at][best], score[best]))
+                asks, near = tables.within(np.ascontiguousarray(q_codes[a : a + 256]), radius)
+                edges = np.searchsorted(asks, np.arange(len(q[a : a + 256]) + 1))
+                for i, (low, high) in enumerate(zip(edges, edges[1:]), a):
+                    at = near[low:high]
+                    at = at[ids[at] != q_ids[i]]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = (x[at] * q[i]).sum(axis=1)
+                    best = np.lexsort((ids[at], -np.where(np.isnan(score), -np.inf, score)))[:k]
+                    out.append((np.full(len(best), q_ids[i]), ids[at][best], score[best]))
         if not out:
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
     found = base.union(asks).groupBy("a", "b").applyInArrow(cell, "query_id long, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    by = Window.partitionBy("query_id").orderBy(F.nanvl("score", F.lit(float("-inf"))).desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
