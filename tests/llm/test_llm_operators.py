@@ -127,14 +127,81 @@ def test_simhash_counts_votes():
     assert not whole[1].any() and (whole == np.concatenate([simhash.fingerprints([t]) for t in texts])).all()
 
 
-def test_simhash_links(spark):
+def plain_fingerprint(text):
+    """The fingerprint by a vote of one term after another, in whole numbers."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & top
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & top
+        return x ^ (x >> 31)
+
+    def word(w):
+        lanes = [int.from_bytes(w[i : i + 8], "little") for i in range(0, len(w), 8)]
+        total = mix(lanes[0]) + sum(mix((mix(v) + k * 0x9E3779B97F4A7C15) & top) for k, v in enumerate(lanes[1:], 1))
+        return mix((total + len(w)) & top)
+
+    def fold(hashes, by):
+        out = 0
+        for h in hashes:
+            out = (out * by + h) & top
+        return out
+
+    h = [word(w) for w in re.findall(rb"[^\x20\x09-\x0d]+", text.translate(LOWER).encode())]
+    terms = [mix(fold(h[i : i + 5], 0xD6E8FEB86659FD93)) for i in range(len(h) - 4)] if len(h) >= 5 else [mix((fold(h, 0xA0761D6478BD642F) + len(h)) & top)] if h else []
+    votes = [0] * 128
+    for t in terms:
+        for lane in (0, 1):
+            v = mix(t ^ (0x5851F42D4C957F2D * (lane + 1) & top))
+            for bit in range(64):
+                votes[64 * lane + bit] += 1 if v >> bit & 1 else -1
+    return sum(1 << bit for bit, v in enumerate(votes[:64]) if v > 0).to_bytes(8, "little").hex(), sum(1 << bit for bit, v in enumerate(votes[64:]) if v > 0).to_bytes(8, "little").hex()
+
+
+def test_simhash_equals_plain_votes():
+    texts = [t or "" for _, t, *_ in corpus()[:70] if len(t or "") < 3000] + ["A b", "Ab cD é漢 " * 40, "averyveryverylongwordindeed " * 3 + "x y z"]
+    got = simhash.fingerprints([t.encode() for t in texts])
+    for t, g in zip(texts, got):
+        flipped = np.packbits(np.unpackbits(g, bitorder="big").reshape(-1, 8)[:, :], axis=1).ravel()
+        assert flipped.tobytes().hex() == "".join(plain_fingerprint(t)), t[:50]
+
+
+@pytest.mark.parametrize("cell,look", [(4096, 64), (8, 1)])
+def test_simhash_search(spark, monkeypatch, cell, look):
+    """Pairs and firsts against every pair; with small cells, groups of near copies are dealt over many of them."""
+    monkeypatch.setattr(simhash, "CELL", cell)
+    monkeypatch.setattr(simhash, "LOOK", look)
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, 16, dtype=np.uint8)
-    near = base.copy()
-    near[3] ^= 0b101
-    other = rng.integers(0, 256, 16, dtype=np.uint8)
-    df = spark.createDataFrame([(1, base.tobytes().hex()), (2, near.tobytes().hex()), (3, base.tobytes().hex()), (4, other.tobytes().hex())], "doc_id long, fingerprint string")
-    assert [tuple(r) for r in simhash.links(df, radius=3, blocks=8).collect()] == [(1, 2, 2)]
+    prints = [rng.integers(0, 256, 16, dtype=np.uint8) for _ in range(30)]
+    for base in (prints[0], prints[1]):
+        for _ in range(40):
+            x = np.unpackbits(base)
+            x[rng.choice(128, rng.integers(0, 9), replace=False)] ^= 1
+            prints.append(np.packbits(x))
+    prints += [prints[5], prints[0], np.zeros(16, np.uint8), np.zeros(16, np.uint8)]
+    ids = rng.permutation(len(prints))
+    rows = [(int(i), p.tobytes().hex()) for i, p in zip(ids, prints)] + [(None, prints[0].tobytes().hex()), (None, "ff" * 16)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string").repartition(3)
+    least = {}
+    for i, f in rows:
+        least[f] = i if least.get(f) is None else least[f] if i is None else min(least[f], i)
+    far = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    named = sorted((i, f) for f, i in least.items() if i is not None)
+    want = sorted((i, j, far(f, g)) for i, f in named for j, g in named if i < j and far(f, g) <= 6)
+    assert sorted(map(tuple, simhash.links(df).collect())) == want and len(want) > 100
+    first = {f: min([j for j, g in named if far(f, g) <= 6 and (i is None or j <= i)], default=None) if i is not None else None for f, i in least.items()}
+    assert {tuple(r) for r in simhash.near_first(df).collect()} == set(first.items())
+    assert simhash.links(df, radius=3, blocks=4).count() == sum(d <= 3 for *_, d in want)
+    assert simhash.links(df.limit(0)).count() == 0 and simhash.near_first(df.limit(0)).count() == 0
+
+
+def test_simhash_query_rows(spark, docs):
+    got = {(r["doc_id"], r["fingerprint"]): r["near_first"] for r in simhash.searched(docs).collect()}
+    far = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    for (i, f), first in got.items():
+        assert first == min((j for j, g in got if j is not None and far(f, g) <= 6), default=None)
+    assert simhash.searched(docs.limit(0)).count() == 0
 
 
 # 3

@@ -21,7 +21,7 @@ def op1_mih_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import simhash
 
-    return simhash.compare(table(spark, sf_dir, "documents"))
+    return simhash.searched(table(spark, sf_dir, "documents"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

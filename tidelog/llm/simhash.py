@@ -4,8 +4,19 @@ A text's terms are its runs of five words (lower-cased A-Z); a text with fewer w
 is one term. Each occurrence votes, so a term weighs as often as it occurs. A bit of
 the 128-bit fingerprint is set where the votes for it outweigh those against it.
 
+Search: the bits are cut into BLOCKS blocks; two fingerprints within RADIUS agree on all
+but RADIUS of them at most, so in one of the permuted tables - one for each choice of the
+other blocks, keyed by them - both stand under one key. Each distinct fingerprint is in
+each table once. A key that many have is dealt over cells (pairs of blocks of its
+fingerprints), so no task holds an unbounded group. `near_first` tells of each document the
+first one within the radius: a fingerprint is compared with earlier ones only until one is
+near, so a large group of near copies costs no more than its size. `links` gives all pairs.
+
 Defined cases: null and empty texts, and texts without words, have the fingerprint of
-zeros; equal texts have equal fingerprints; repeated rows are neighbours in order.
+zeros; equal texts have equal fingerprints; repeated rows are neighbours in order; very
+long texts are counted in pieces; null ids come first in order and are named by no
+search; an empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,11 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
-from tidelog.llm.cluster import tasks
+from tidelog.llm.cluster import column, release, tasks, written
+from tidelog.llm.graph import spread_join
 
 WIDTH, BITS = 5, 128
 #: Bytes of text whose votes are counted at once.
 CHUNK = 1 << 20
+#: The chosen radius and number of blocks: 28 tables with keys of 32 bits.
+RADIUS, BLOCKS = 6, 8
+#: Fingerprints of one key in one block of a cell; keys with fewer are one cell.
+CELL = 4096
+#: One class in so many is looked at to find the keys that many have.
+LOOK = 64
 
 
 def votes_to_bits(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -86,7 +104,7 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     spark = docs.sparkSession
     n = tasks(spark)
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    ids = docs.select(column(id_col).cast("long").alias("id"))
     cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10000)).first()[0] if n > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
@@ -119,8 +137,8 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for a in range(0, len(rows), 1024):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 1024]), (pa.int32(), pa.bool_(), pa.int64(), pa.binary()))], ["r", "last", "id", "z"])
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(deal, "r int, last boolean, id long, z binary")
-    return dealt.repartition(n, "r").sortWithinPartitions("r", "last", "id", "z")
+    dealt = docs.select(column(id_col).cast("long").alias("id"), column(text_col).cast("string").alias("text")).mapInArrow(deal, "r int, last boolean, id long, z binary")
+    return dealt.repartitionById(n, "r").sortWithinPartitions("r", "last", "id", "z")  # each range is a partition
 
 
 def edited(text: str, following: str) -> str:
@@ -184,25 +202,130 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return in_order(docs, id_col, text_col).mapInArrow(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def links(prints: DataFrame, radius: int = 12, blocks: int = 16, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
-    """Pairs (a < b, distance) of distinct fingerprints within the radius, each named by its smallest id; `classes` gives the members.
+def _choices(radius: int, blocks: int) -> list[tuple[int, ...]]:
+    if not 0 <= radius < blocks or BITS % blocks or BITS // blocks % 8:
+        raise ValueError("blocks must be whole bytes, divide the bits and exceed the radius")
+    if (blocks - radius) * BITS // blocks > 56:
+        raise ValueError("keys of more than 56 bits: choose fewer blocks or a larger radius")
+    return list(combinations(range(blocks), blocks - radius))
 
-    The bits are cut into `blocks` blocks; two fingerprints within the radius agree on
-    all but `radius` of them at most, so with `blocks` - `radius` leading blocks chosen
-    in every way, one of the permuted tables holds both under one key.
-    """
-    if not 0 <= radius < blocks or BITS % blocks:
-        raise ValueError("blocks must divide the bits and exceed the radius")
-    hexits = BITS // blocks // 4
-    if BITS // blocks % 4:
-        raise ValueError("blocks must be whole hexadecimal digits")
-    cls = classes(prints, id_col, print_col).where("member = class_id").select("class_id", "fingerprint")
-    part = lambda b: F.substring("fingerprint", b * hexits + 1, hexits)
-    tables = [F.struct(F.lit(t).alias("t"), F.concat(*[part(b) for b in chosen]).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    keyed = cls.select("class_id", "fingerprint", F.inline(F.array(*tables)))
-    a, b = keyed.toDF("a", "fa", "t", "key"), keyed.toDF("b", "fb", "t", "key")
-    bits = lambda x, y: sum((F.bit_count(F.conv(F.substring(x, i + 1, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(y, i + 1, 8), 16, 10).cast("long"))) for i in range(0, BITS // 4, 8)), F.lit(0))
-    return a.join(b, ["t", "key"]).where("a < b").select("a", "b", bits("fa", "fb").alias("distance")).where(F.col("distance") <= radius).distinct()
+
+def keyed(cls: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """key (table and blocks), class_id, hi, lo: each fingerprint in each permuted table."""
+    choices = _choices(radius, blocks)
+    size = BITS // blocks // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                raw = np.frombuffer(bytes.fromhex("".join(part.column(1).to_pylist())), np.uint8).reshape(-1, BITS // 8)
+                lanes = np.ascontiguousarray(raw).view(np.int64)
+                for t, chosen in enumerate(choices):
+                    key = np.full(len(raw), t, np.int64)
+                    for b in chosen:
+                        for k in range(b * size, (b + 1) * size):
+                            key = (key << 8) | raw[:, k]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), pa.array(lanes[:, 0]), pa.array(lanes[:, 1])], ["key", "class_id", "hi", "lo"])
+
+    return cls.select("class_id", "fingerprint").mapInArrow(run, "key long, class_id long, hi long, lo long")
+
+
+def in_cells(cls: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """key, one, two, part, class_id, hi, lo in order of the first three and class_id: runs of equal (key, one, two) are the cells; part: the block that a row is of."""
+    n = F.col("n") * LOOK
+    some = keyed(cls.where(F.pmod(F.xxhash64("class_id", F.lit(5)), F.lit(LOOK)) == 0), radius, blocks)
+    large = written(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(n >= CELL).select("key", F.ceil(n / CELL).cast("int").alias("k")), "simhash-keys")
+    rows = keyed(cls, radius, blocks).join(large, "key", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class_id", F.lit(6)), F.col("k")).cast("int"))
+    other = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))
+    dealt = rows.select("key", "part", "class_id", "hi", "lo", F.explode(other).alias("other"))
+    dealt = dealt.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "class_id", "hi", "lo")
+    return dealt.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "class_id")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(one, two, part, class_id, lanes) of each cell of at least two rows; a cell may span batches."""
+    held: list[np.ndarray] | None = None
+
+    def cut(columns: list[np.ndarray], last: bool):
+        nonlocal held
+        key, one, two = columns[:3]
+        edge = np.flatnonzero((key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1
+        begin, end = np.r_[0, edge], np.r_[edge, len(key)]
+        if not last:
+            held = [c[begin[-1] :] for c in columns]
+            begin, end = begin[:-1], end[:-1]
+        for a, b in zip(begin[end - begin > 1], end[end - begin > 1]):
+            yield one[a], two[a], columns[3][a:b], columns[4][a:b], np.stack([columns[5][a:b], columns[6][a:b]], 1).view(np.uint64)
+
+    for batch in batches:
+        if batch.num_rows:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            yield from cut([np.concatenate(x) for x in zip(held, columns)] if held else columns, False)
+    if held:
+        yield from cut(held, True)
+
+
+def firsts(prints: np.ndarray, radius: int) -> np.ndarray:
+    """Of fingerprints in order (rows of two lanes) the place of the first earlier one within the radius; -1 if there is none."""
+    out, left = np.full(len(prints), -1), np.arange(1, len(prints))
+    for a in range(0, len(prints) - 1, 64):
+        left = left[left > a]
+        if not len(left):
+            break
+        block = prints[a : a + 64]
+        far = sum(np.bitwise_count(prints[left, k, None] ^ block[None, :, k]).astype(np.int16) for k in (0, 1))
+        near = (far <= radius) & (np.arange(a, a + len(block)) < left[:, None])
+        hit = near.any(axis=1)
+        out[left[hit]] = a + near[hit].argmax(axis=1)
+        left = left[~hit]
+    return out
+
+
+def near_first(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
+    """fingerprint, near_first: of each distinct fingerprint the smallest id that has one within the radius, its own included."""
+    cls = written(_distinct(prints, id_col, print_col), "simhash-classes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, ids, lanes in _cells(batches):
+            at = firsts(lanes, radius)
+            hit = np.flatnonzero(at >= 0)
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[at[hit]])], ["class_id", "first"])
+
+    found = in_cells(cls.where("class_id is not null"), radius, blocks).mapInArrow(run, "class_id long, first long")
+    least = found.groupBy("class_id").agg(F.min("first").alias("first"))
+    return cls.join(least, "class_id", "left").select("fingerprint", F.coalesce("first", "class_id").alias("near_first"))
+
+
+def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
+    """All pairs (a < b, distance) of distinct fingerprints within the radius, each named by its smallest id; `classes` gives the members."""
+    cls = written(_distinct(prints, id_col, print_col), "simhash-classes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one, two, part, ids, lanes in _cells(batches):
+            for a in range(0, len(ids), 256):
+                far = sum(np.bitwise_count(lanes[a : a + 256, k, None] ^ lanes[None, :, k]).astype(np.int16) for k in (0, 1))
+                near = (far <= radius) & (ids[a : a + 256, None] < ids)
+                if one != two:  # pairs inside a block are another cell's
+                    near &= part[a : a + 256, None] != part
+                i, j = np.nonzero(near)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a + i]), pa.array(ids[j]), pa.array(far[i, j].astype(np.int32))], ["a", "b", "distance"])
+
+    return in_cells(cls.where("class_id is not null"), radius, blocks).mapInArrow(run, "a long, b long, distance int").distinct()
+
+
+def _distinct(prints: DataFrame, id_col: str, print_col: str) -> DataFrame:
+    return prints.groupBy(column(print_col).alias("fingerprint")).agg(F.min(column(id_col).cast("long")).alias("class_id"))
+
+
+def searched(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `compare` with near_first: the smallest id of a document whose fingerprint is within the radius, its own included (null where none has an id)."""
+    rows = written(compare(docs, id_col, text_col), "simhash-prints")
+    release(docs.sparkSession)  # the shuffle files of the texts go, before those of the tables come
+    return spread_join(rows, written(near_first(rows, radius, blocks), "simhash-near"), "fingerprint").select(*rows.columns, "near_first")
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint") -> DataFrame:
