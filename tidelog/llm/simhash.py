@@ -46,6 +46,10 @@ CELL = 4096
 LOOK = 64
 
 
+#: The bits of each byte, the highest first, as the bytes of a number.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def votes_to_bits(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Packed fingerprints (texts x BITS/8 bytes) of the term hashes of consecutive texts."""
     n = len(first) - 1
@@ -54,11 +58,17 @@ def votes_to_bits(terms: np.ndarray, first: np.ndarray) -> np.ndarray:
     have = np.flatnonzero(count > 0)
     if not len(have):
         return out
+    # Eight bits of a hash become eight counters of a byte each in one number; a run of up to 255 terms is summed at once.
+    runs = -(-count[have] // 255)
+    begin = np.concatenate([[0], np.cumsum(runs)[:-1]])
+    owner = np.repeat(np.arange(len(have)), runs)
+    at = first[:-1][have][owner] + 255 * (np.arange(len(owner)) - begin[owner])
     for lane in range(BITS // 64):
-        h = words.mix(terms ^ np.uint64(0x5851F42D4C957F2D * (lane + 1) % (1 << 64)))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
-        total = np.add.reduceat(bits, first[:-1][have], axis=0, dtype=np.int32)
-        out[have, lane * 8 : lane * 8 + 8] = np.packbits(2 * total > count[have, None], axis=1)
+        h = words.mix(terms ^ np.uint64(0x5851F42D4C957F2D * (lane + 1) % (1 << 64))).view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            counters = np.add.reduceat(_SPREAD[h[:, byte]], at).view(np.uint8).reshape(-1, 8)
+            total = np.add.reduceat(counters, begin, axis=0, dtype=np.int32)
+            out[have, lane * 8 + byte] = np.packbits(2 * total > count[have, None], axis=1).ravel()
     return out
 
 
