@@ -53,6 +53,30 @@ def test_append(spark):
     assert [r["offset"] for r in stored.where("stream_id = 't'").collect()] == ["0000000006"]
 
 
+def test_append_bytes(spark):
+    """Bytes that are no text are kept as they are in streams of other types, and refused in JSON streams."""
+    st = spark.createDataFrame([("b", "application/octet-stream", None), ("j", "application/json", None)], "stream_id string, content_type string, expires_at timestamp")
+    rows = [("b", 1, "application/octet-stream", b"\xff\x00\xfe", None), ("j", 2, "application/json", b"[\xff]", None), ("j", 3, "application/json", '["é",{"b":1, "a":2}]'.encode(), None), ("b", 4, "application/octet-stream", b"", None)]
+    results, stored = append.append(spark.createDataFrame(rows, "stream_id string, arrival long, content_type string, body binary, seq string"), st, NOW())
+    assert {r["arrival"]: r["status"] for r in results.collect()} == {1: "ok", 2: "bad_request", 3: "ok", 4: "bad_request"}
+    assert sorted((r["stream_id"], r["idx"], bytes(r["data"])) for r in stored.collect()) == [("b", 1, b"\xff\x00\xfe"), ("j", 1, '"é"'.encode()), ("j", 2, b'{"a":2,"b":1}')]
+
+
+def test_plans_are_one_pass(spark):
+    """The append's messages and a catch-up read the table once, check JSON once, and shuffle it once."""
+    import re
+
+    from tidelog.plans import registry
+
+    def parts(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return {k: len(re.findall(k, plan)) for k in ("FileScan", "ArrowEvalPython", "Exchange hashpartitioning", "Window ")}
+
+    for name, scans, python, exchanges in (("append_messages", 2, 1, 3), ("append_status", 2, 1, 3), ("catchup_page", 1, 0, 2), ("log_offsets", 1, 0, 1)):
+        got = parts(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert got["FileScan"] <= scans and got["ArrowEvalPython"] <= python and got["Exchange hashpartitioning"] <= exchanges, (name, got)
+
+
 def test_page(spark):
     m = messages(spark, [("s", 1, "hello"), ("s", 2, "world"), ("s", 3, "extra")])
     take = lambda df, n: [r["data"] for r in read.page(df, n, span=2).orderBy("idx").collect()]
@@ -95,10 +119,22 @@ def test_append_from_files(spark, tmp_path):
     df = append.from_files(spark, str(tmp_path), "s", "text/plain", seq="s1")
     st = spark.createDataFrame([("s", "text/plain", None)], "stream_id string, content_type string, expires_at timestamp")
     results, stored = append.append(df, st, NOW())
-    assert [(r["offset"], r["data"]) for r in stored.orderBy("idx").collect()] == [("0000000001", "first é"), ("0000000002", "second")]
+    assert [(r["offset"], bytes(r["data"]).decode()) for r in stored.orderBy("idx").collect()] == [("0000000001", "first é"), ("0000000002", "second")]
     assert sorted((r["arrival"], r["status"], r["seq"]) for r in results.collect()) == [(1, "ok", "s1"), (2, "ok", None)]
 
 
+def test_large_streams_only_are_cut(spark):
+    rows = [("few", i) for i in range(5)] + [("hot", i * 1000) for i in range(1000)] + [(None, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "stream_id string, arrival long")
+    cut = {r["stream_id"]: r["_step"] for r in scan.large(df, "stream_id", "arrival", span=100).collect()}
+    assert cut == {"hot": 99900}  # ten spans, though the order's values are sparse
+    assert scan.large(df, "stream_id", "arrival", span=1000) is None
+    for span in (100, 1000):
+        got = scan.before(df, "stream_id", "arrival", {"n": F.lit(1)}, {"m": F.col("arrival")}, span=span).collect()
+        assert sorted((str(r["stream_id"]), r["n"]) for r in got) == sorted((str(s), i // 1000 if s == "hot" else i) for s, i in rows)
+        assert {r["arrival"]: r["m"] for r in got if r["stream_id"] == "hot"} == {i * 1000: (i - 1) * 1000 if i else None for i in range(1000)}
+
+
 def test_hot_stream_is_spread(spark):
     """A window's key is (stream, span): one stream's rows go to as many groups as it has spans."""
     df = spark.range(0, 1000).select(F.lit("hot").alias("stream_id"), F.col("id").alias("arrival"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import media, offsets, payload, requests
@@ -31,8 +31,13 @@ def number(rows: DataFrame, order: str = "arrival", tails: DataFrame | None = No
     return out.withColumn("idx", (F.col("_n") + base + 1).cast("long")).withColumn("offset", offsets.to_offset(F.col("idx"))).drop("_n", "tail")
 
 
+def _text(body: Column, kind: str) -> Column:
+    """A body as text; null where bytes are no UTF-8."""
+    return F.try_validate_utf8(body.cast("string")) if kind == "binary" else body
+
+
 def check(appends: DataFrame, streams: DataFrame, now: Column, most: int = requests.MAX_APPEND) -> DataFrame:
-    """appends with status (before the sequence gate) and json. Columns: stream_id, arrival, content_type, body, seq."""
+    """appends with status (before the sequence gate) and json. Columns: stream_id, arrival, content_type, body (text or bytes), seq."""
     s = streams.select("stream_id", F.col("content_type").alias("_type"), F.col("expires_at").alias("_expires"))
     is_json = media.is_json(F.col("_type"))
     status = (
@@ -44,40 +49,72 @@ def check(appends: DataFrame, streams: DataFrame, now: Column, most: int = reque
         .when(is_json, F.col("_json"))
         .otherwise("ok")
     )
-    rows = appends.join(s, "stream_id", "left").withColumn("_json", payload.json_status(F.col("body").cast("string")))
+    rows = appends.join(s, "stream_id", "left").withColumn("_json", payload.json_status(_text(F.col("body"), dict(appends.dtypes)["body"])))
     return rows.withColumn("status", status).withColumn("json", F.coalesce(is_json, F.lit(False))).drop("_type", "_expires", "_json")
 
 
+def items(kind: str) -> Column:
+    """The messages of a good append, of the body's type."""
+    body = F.col("body")
+    parts = payload.elements(_text(body, kind))
+    return F.when(F.col("json"), F.transform(parts, lambda x: x.cast("binary")) if kind == "binary" else parts).otherwise(F.array(body))
+
+
+def decided(appends: DataFrame, streams: DataFrame, now: Column, tails: DataFrame | None = None, last: DataFrame | None = None, most: int = requests.MAX_APPEND, span: int = scan.SPAN) -> DataFrame:
+    """appends with status, json, and of the good ones first: the index before their first message.
+
+    One pass over the rows: the checks, then the gate and the numbering as windows over
+    the same exchange. Bad rows stand in it with no seq and no messages.
+    """
+    kind, own = dict(appends.dtypes)["body"], appends.columns
+    big = scan.large(appends, "stream_id", "arrival", span)
+    rows = check(appends, streams, now, most)
+    good, seq = F.col("status") == "ok", F.nullif(F.col("seq"), F.lit(""))
+    rows = scan.before(rows, "stream_id", "arrival", maxima={"_top": F.when(good, seq)}, span=span, streams=big)
+    if last is not None:
+        rows = rows.join(last.select("stream_id", F.col("last_seq").alias("_last")), "stream_id", "left").withColumn("_top", F.greatest("_top", "_last"))
+    late = good & seq.isNotNull() & F.coalesce(seq <= F.col("_top"), F.lit(False))
+    rows = rows.withColumn("status", F.when(late, "conflict").otherwise(F.col("status")))
+    rows = scan.before(rows, "stream_id", "arrival", sums={"first": F.when(good, F.size(items(kind)).cast("long"))}, span=span, streams=big)
+    if tails is not None:
+        rows = rows.join(tails.select("stream_id", F.col("tail").alias("_tail")), "stream_id", "left").withColumn("first", F.col("first") + F.coalesce("_tail", F.lit(0)))
+    return rows.select(*own, "status", "json", F.when(good, F.col("first")).cast("long").alias("first"))
+
+
+def stored(decided_: DataFrame) -> DataFrame:
+    """The messages of decided appends."""
+    idx = (F.col("first") + F.col("pos") + 1).cast("long")
+    each = decided_.where("status = 'ok'").select("stream_id", "arrival", "first", F.posexplode(items(dict(decided_.dtypes)["body"])).alias("pos", "data"))
+    return each.select("stream_id", "arrival", "pos", "data", idx.alias("idx"), offsets.to_offset(idx).alias("offset"), F.octet_length("data").alias("n_bytes"))
+
+
 def append(appends: DataFrame, streams: DataFrame, now: Column, tails: DataFrame | None = None, last: DataFrame | None = None, most: int = requests.MAX_APPEND, span: int = scan.SPAN) -> tuple[DataFrame, DataFrame]:
     """(appends with their status, the messages stored).
 
     A JSON array becomes a message an element; its seq counts once, for the whole batch.
     """
-    checked = check(appends, streams, now, most)
-    gated = sequence_gate(checked.where("status = 'ok'"), last=last, span=span)
-    good = gated.where("accepted").drop("accepted")
-    results = checked.where("status <> 'ok'").unionByName(gated.withColumn("status", F.when(F.col("accepted"), "ok").otherwise("conflict")).drop("accepted"))
-    items = F.when(F.col("json"), payload.elements(F.col("body").cast("string"))).otherwise(F.array(F.col("body").cast("string")))
-    each = good.select("stream_id", "arrival", F.posexplode(items).alias("pos", "data"), F.size(items).alias("_k"))
-    # Each append's messages follow those of the appends before it: a running sum of their numbers, then the place in the body.
-    counts = scan.before(good.select("stream_id", "arrival", F.size(items).cast("long").alias("k")), "stream_id", "arrival", sums={"_n": F.col("k")}, span=span).drop("k")
-    rows = each.drop("_k").join(counts, ["stream_id", "arrival"])
-    base = F.lit(0)
-    if tails is not None:
-        rows, base = rows.join(tails.select("stream_id", "tail"), "stream_id", "left"), F.coalesce("tail", F.lit(0))
-    idx = (F.col("_n") + F.col("pos") + 1 + base).cast("long")
-    messages = rows.select("stream_id", "arrival", "pos", "data", idx.alias("idx"), offsets.to_offset(idx).alias("offset"), F.octet_length("data").alias("n_bytes"))
-    return results, messages
+    rows = decided(appends, streams, now, tails, last, most, span)
+    return rows.drop("first"), stored(rows)
 
 
 def from_files(spark: SparkSession, path: str, stream_id: str, content_type: str, seq: str | None = None) -> DataFrame:
     """Whole files as appends to one stream, in the order of their paths; executors read them.
 
-    Files are numbered from their names alone; contents follow by a join. Empty
-    files, which Spark's reader passes over, append nothing; seq goes with the first file.
+    Files are numbered from their names alone; contents follow by a join. The names are
+    range-sorted, so numbering them is a place in a sorted part plus the sizes of the parts
+    before it. Contents are bytes. Empty files, which Spark's reader passes over, append
+    nothing; seq goes with the first file.
     """
     files = spark.read.format("binaryFile").load(path)
-    numbered = files.select("path").withColumn("arrival", F.row_number().over(Window.orderBy("path")).cast("long"))
-    rows = files.select("path", F.decode("content", "utf-8").alias("body")).join(numbered, "path")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    names = files.select("path").repartitionByRange("path").sortWithinPartitions("path").withColumn("_at", F.monotonically_increasing_id())
+    names = names.persist()  # names only: what is in each part must not change between the two uses
+    begin, total = [], 0
+    for r in names.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row for each part
+        begin.append((r["p"], total))
+        total += r["count"]
+    sizes = spark.createDataFrame(begin, "p long, before long")
+    numbered = names.join(F.broadcast(sizes), part == F.col("p")).select("path", (F.col("before") + place + 1).alias("arrival"))
+    rows = files.select("path", F.col("content").alias("body")).join(numbered, "path")
     first = F.when(F.col("arrival") == 1, F.lit(seq)).cast("string")
     return rows.select(F.lit(stream_id).alias("stream_id"), "arrival", F.lit(content_type).alias("content_type"), "body", first.alias("seq"))

@@ -42,9 +42,14 @@ def page(messages: DataFrame, limit: int = 0, span: int = scan.SPAN) -> DataFram
 def catch_up(messages: DataFrame, offset: str | None = None, limit: int = requests.CHUNK, span: int = scan.SPAN) -> DataFrame:
     """A row for each stream: what a read from the offset answers, without the data. Offsets are normalised."""
     at = parse(offset)
-    tails = messages.groupBy("stream_id").agg(F.max("idx").alias("tail"))
-    got = page(after(messages, at), limit, span).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_bytes").cast("long").alias("bytes"), F.max("idx").alias("last"))
-    rows = tails.join(got, "stream_id", "left")
+    # One pass: rows up to the offset count for nothing in the running sums, and the tail is the maximum of all.
+    late = F.col("idx") > at
+    size = F.when(late, F.col("n_bytes").cast("long"))
+    run = messages
+    if limit > 0:
+        run = scan.before(messages, "stream_id", "idx", sums={"_bytes": size, "_count": late.cast("long")}, span=span)
+    fits = late & ((F.col("_bytes") + size <= limit) | (F.col("_count") == 0)) if limit > 0 else late
+    rows = run.groupBy("stream_id").agg(F.max("idx").alias("tail"), F.count_if(fits).alias("n"), F.sum(F.when(fits, size)).alias("bytes"), F.max(F.when(fits, F.col("idx"))).alias("last"))
     gone = (F.lit(at) < 0) | (F.lit(at) > F.col("tail"))
     last = F.coalesce("last", F.lit(at).cast("long"))
     return rows.select(

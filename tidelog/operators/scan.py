@@ -1,9 +1,11 @@
-"""Running sums and maxima along each stream, in two steps.
+"""Running sums and maxima along each stream.
 
-A window over a whole stream is one task, however large the stream. Here the order
-column is cut into spans: windows run inside (stream, span), the spans' totals - one row
-each - are scanned, and each row adds what came before its span. A stream that holds a
-third of all rows is worked on by as many tasks as it has spans.
+A stream of at most `span` rows is one group of a window. A window over a larger stream
+would be one task, however large the stream, so its order column is cut into spans - as
+many as it takes for `span` rows each, if they lie evenly -: windows run inside (stream,
+span), the spans' totals - one row each - are scanned, and each row adds what came before
+its span. Which streams are large is found by one count of each stream, before the plan
+is made; pass the table itself, or one that is staged, not a plan that is dear to run.
 """
 
 from __future__ import annotations
@@ -14,14 +16,29 @@ from pyspark.sql import functions as F
 SPAN = 1 << 20
 
 
-def before(df: DataFrame, by: str, order: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, span: int = SPAN) -> DataFrame:
+def large(df: DataFrame, by: str, order: str, span: int = SPAN) -> DataFrame | None:
+    """`by`, _low, _step of the streams with more than `span` rows; None without such."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(order, F.lit(0))).cast("long").alias("low"), F.max(F.coalesce(order, F.lit(0))).cast("long").alias("high")).where(F.col("n") > span)
+    rows = [(r[by], r["low"], max(1, (r["high"] - r["low"] + 1) // -(-r["n"] // span))) for r in counts.collect()]  # one row for `span` rows of df at most
+    return df.sparkSession.createDataFrame(rows, f"`{by}` {dict(df.dtypes)[by]}, _low long, _step long") if rows else None
+
+
+def before(df: DataFrame, by: str, order: str, sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None, span: int = SPAN, streams: DataFrame | bool | None = True) -> DataFrame:
     """df with, for each name, the sum (0 if none) or maximum (null if none) over the earlier rows of the same stream.
 
     `order` is a whole number, unique in its stream; rows without one come first.
+    streams: what `large` gave for these rows; True to find out.
     """
     sums, maxima = sums or {}, maxima or {}
-    at = F.floor(F.coalesce(F.col(order), F.lit(0)) / F.lit(span)).cast("long")
-    rows = df.withColumns({"_span": at} | {f"_v_{k}": v for k, v in (sums | maxima).items()})
+    if streams is True:
+        streams = large(df, by, order, span)
+    whole = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    if streams is None:
+        out = {k: F.coalesce(F.sum(v).over(whole), F.lit(0)) for k, v in sums.items()} | {k: F.max(v).over(whole) for k, v in maxima.items()}
+        return df.select(*[c for c in df.columns if c not in out], *[v.alias(k) for k, v in out.items()])
+    at = F.coalesce(F.floor((F.coalesce(F.col(order), F.lit(0)) - F.col("_low")) / F.col("_step")).cast("long"), F.lit(0))
+    # A row for each large stream; streams beyond a broadcast's size are joined by shuffle.
+    rows = df.join(streams, by, "left").withColumns({"_span": at} | {f"_v_{k}": v for k, v in (sums | maxima).items()}).drop("_low", "_step")
     inside = Window.partitionBy(by, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(by, "_span").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums], *[F.max(f"_v_{k}").alias(f"_t_{k}") for k in maxima])

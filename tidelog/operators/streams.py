@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import media, offsets, requests
+from tidelog.operators import scan
 
 
 def same_config(a: str, b: str) -> Column:
@@ -52,5 +53,4 @@ def delete(streams: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[Da
 
 def epochs(ops: DataFrame, order: str = "arrival") -> DataFrame:
     """ops with epoch: how many deletes of the stream came before. A stream created anew begins a new life at offset 1."""
-    before = Window.partitionBy("stream_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return ops.withColumn("epoch", F.coalesce(F.sum((F.col("op") == "delete").cast("long")).over(before), F.lit(0)))
+    return scan.before(ops, "stream_id", order, sums={"epoch": (F.col("op") == "delete").cast("long")})
