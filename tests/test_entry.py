@@ -39,7 +39,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("limit", [None, 100])
 def test_response_pages_hold_every_message(spark, limit):
-    """Against a plain loop over all events; each stream is far longer than the 20 messages of response_body."""
+    """Against a plain loop over all events; pages end in the middle of streams."""
     import pyarrow.parquet as pq
 
     streams = {}
@@ -62,3 +62,11 @@ def test_response_pages_hold_every_message(spark, limit):
     query = entry.queries()["response_pages"]
     got = query(spark, DATA) if limit is None else query(spark, DATA, limit)
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_append_files_takes_whole_files(spark):
+    import hashlib
+
+    names = sorted(n for n in os.listdir(DATA) if n.split(".")[0] in ("nation", "region", "supplier"))
+    want = [(i, f"{i:010d}", hashlib.sha256(open(f"{DATA}/{n}", "rb").read()).hexdigest()) for i, n in enumerate(names, 1)]
+    assert sorted((r["idx"], r["offset"], r["sha256"]) for r in entry.queries()["append_files"](spark, DATA).collect()) == want

@@ -59,13 +59,113 @@ def test_batches_and_source(spark, store):
     rows = spark.createDataFrame([("a", i, "text/plain", f"m{i}", None) for i in range(1, 6)], "stream_id string, arrival long, content_type string, body string, seq string")
     assert len(store.append(rows, tag="b1")) == 5 and store.append(rows, tag="b1") is None
     got = spark.read.format("tidelog").option("path", store.root).option("startingOffset", "0000000002").load()
-    assert sorted(r["data"] for r in got.collect()) == ["m3", "m4", "m5"]
+    assert sorted(bytes(r["data"]) for r in got.collect()) == [b"m3", b"m4", b"m5"]
     stream = spark.readStream.format("tidelog").option("path", store.root).load()
     q = stream.writeStream.format("memory").queryName("tail").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("tail").count() == 5
 
 
+def source(spark, store, **options):
+    datasource.register(spark)
+    return sorted((r["stream_id"], r["epoch"], r["idx"], bytes(r["data"])) for r in spark.read.format("tidelog").option("path", store.root).options(**options).load().collect())
+
+
+def test_source_gives_streams_as_they_live(spark, store):
+    store.create("s", "text/plain", body="dead1")
+    store.append_one("s", "dead2")
+    store.create("t", "text/plain", body="t1")
+    store.delete("s")
+    assert source(spark, store) == [("t", 0, 1, b"t1")]
+    store.create("s", "text/plain")
+    assert store.append_one("s", "live1") == "0000000001"
+    assert source(spark, store) == [("s", 1, 1, b"live1"), ("t", 0, 1, b"t1")] == sorted((r["stream_id"], 1 if r["stream_id"] == "s" else 0, r["idx"], bytes(r["data"])) for r in store.messages().collect())
+    assert source(spark, store, stream_id="s") == [("s", 1, 1, b"live1")]
+    assert source(spark, store, startingOffset="latest") == [] and source(spark, store, startingOffset="0000000001") == []
+    store.compact()
+    assert source(spark, store) == [("s", 1, 1, b"live1"), ("t", 0, 1, b"t1")]
+    assert store.append_one("t", "t2") == "0000000002" and source(spark, store, startingOffset="1") == [("t", 0, 2, b"t2")]
+    stream = spark.readStream.format("tidelog").option("path", store.root).load()
+    q = stream.writeStream.format("memory").queryName("lives").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r["stream_id"], r["idx"], bytes(r["data"])) for r in spark.table("lives").collect()) == [("s", 1, b"live1"), ("t", 1, b"t1"), ("t", 2, b"t2")]
+
+
+def test_create_with_a_body_is_one_step(store):
+    with pytest.raises(errors.BadRequest):
+        store.create("j", "application/json", body="{bad")
+    with pytest.raises(errors.NotFound):
+        store.head("j")
+    assert store.version() == 0
+    assert store.create("j", "application/json", body="[1,2]") and store.head("j")["next_offset"] == "0000000002" and store.version() == 1
+    assert not store.create("j", "application/json", body="3") and store.head("j")["next_offset"] == "0000000002"
+
+
+def test_bytes(store):
+    store.create("b")
+    body = bytes(range(256))
+    assert store.append_one("b", body) == "0000000001"
+    assert store.read("b")["messages"] == [("0000000001", body)]
+    store.create("t", "text/plain", body=b"\xff ok")
+    (_, text), = store.read("t")["messages"]
+    assert text.encode("utf-8", "surrogateescape") == b"\xff ok"
+
+
+def test_many_writers(spark, store):
+    """Ten threads, and a second store on the same folder: nothing is lost, refused or numbered twice."""
+    store.create("s", "text/plain")
+    other, offsets, wrong = LogStore(spark, store.root, now=NOW), [], []
+
+    def work(k):
+        try:
+            for i in range(5):
+                offsets.append((other if k == 0 else store).append_one("s", f"{k}-{i}"))
+        except Exception as e:
+            wrong.append(e)
+
+    threads = [threading.Thread(target=work, args=(k,)) for k in range(10)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert not wrong and sorted(offsets) == [f"{i:010d}" for i in range(1, 51)]
+    assert store.head("s")["next_offset"] == "0000000050"
+    got = [d for _, d in store.read("s")["messages"]]
+    assert sorted(got) == sorted(f"{k}-{i}" for k in range(10) for i in range(5))
+    assert all([d for d in got if d.startswith(f"{k}-")] == [f"{k}-{i}" for i in range(5)] for k in range(10))
+    assert any(c.get("full") for c in store.commits()) or len(store.commits()) < 16
+
+
+def test_sink(spark, store, tmp_path):
+    """df.write and df.writeStream hand batches in; absorb appends each once."""
+    datasource.register(spark)
+    store.create("a", "text/plain")
+    schema = "stream_id string, arrival long, content_type string, body binary, seq string"
+    rows = spark.createDataFrame([("a", i, "text/plain", f"m{i}".encode(), None) for i in range(1, 6)], schema)
+    rows.repartition(3).write.format("tidelog").option("path", store.root).mode("append").save()
+    assert store.head("a")["next_offset"] == "0000000000"
+    assert store.absorb() == 1 and store.absorb() == 0
+    assert [d for _, d in store.read("a")["messages"]] == ["m1", "m2", "m3", "m4", "m5"]
+    rows.where("arrival <= 2").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.format("tidelog").option("path", store.root).option("name", "q").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert store.absorb() == 1 and store.head("a")["next_offset"] == "0000000007"
+    inbox = datasource.LogStreamWriter({"path": store.root, "name": "q"})
+    inbox.commit([inbox.write(iter(rows.toArrow().to_batches()))], 0)  # the batch once more, after a restart
+    assert store.absorb() == 0 and store.head("a")["next_offset"] == "0000000007"
+
+
+def test_append_files(spark, store, tmp_path):
+    from tidelog.operators import append
+
+    for name, body in (("b", b"\x00\xff"), ("a", b"first"), ("c", b"")):
+        (tmp_path / name).write_bytes(body)
+    store.create("f")
+    assert {r["status"] for r in store.append(append.from_files(spark, str(tmp_path / "[abc]"), "f", "application/octet-stream", seq="s1"))} == {"ok"}
+    assert [d for _, d in store.read("f")["messages"]] == [b"first", b"\x00\xff"]
+
+
 def test_stateful_equals_batch(spark, tmp_path):
     from tidelog.operators import append
 
@@ -127,6 +227,60 @@ def test_client_over_http(store):
         server.shutdown()
 
 
+def test_http_bodies(store):
+    """Bytes, chunked bodies, raw JSON, Location, and a create that fails as a whole."""
+    import http.client
+
+    server = serve(LocalTransport(store, poll=0.05), max_append=1000, long_poll=0.3)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host, port = server.server_address[:2]
+    try:
+        t = HttpTransport(f"http://{host}:{port}")
+        c = http.client.HTTPConnection(host, port)
+
+        def ask(method, path, body=None, headers=None, **k):
+            c.request(method, path, body, headers or {}, **k)
+            r = c.getresponse()
+            return r.status, dict(r.headers), r.read()
+
+        status, headers, _ = ask("PUT", "/new", b"\xff\x00", {"Content-Type": "application/octet-stream"})
+        assert status == 201 and headers["Location"] == f"http://{host}:{port}/new" and headers["Stream-Next-Offset"] == "0000000001"
+        assert ask("PUT", "/new")[0] == 200
+        assert ask("POST", "/new", iter([b"ab", b"c\xfe"]), {"Content-Type": "application/octet-stream"}, encode_chunked=True)[0] == 204
+        assert t.read("/new").messages == [b"\xff\x00abc\xfe"]
+        assert ask("POST", "/new", iter([b"x" * 600] * 2), {"Content-Type": "application/octet-stream"}, encode_chunked=True)[0] == 413
+        c.close()
+        assert ask("PUT", "/j", b"{bad", {"Content-Type": "application/json"})[0] == 400 and ask("HEAD", "/j")[0] == 404
+        assert t.create("/j", "application/json", body='{"é": 1.50}')
+        t.append("/j", "1e3", "application/json")
+        assert t.read("/j").messages == ['{"é": 1.50}', "1e3"]  # as they are written
+    finally:
+        server.shutdown()
+
+
+def test_stubs():
+    from tidelog.streaming.client import Chunk, Reader
+
+    events = mw.StubEvents(Chunk(["a"], "1", True), errors.NotFound("s"))
+    t = mw.Stub(head={"content_type": "text/plain", "next_offset": "0"}, events=events, append=["1", errors.Conflict("s")], read=lambda s, offset=None: Chunk([s], "1", True))
+    assert t.read("s").messages == ["s"] and t.append("s", "x") == "1"
+    for _ in range(2):
+        with pytest.raises(errors.Conflict):
+            t.append("s", "x")
+    with pytest.raises(errors.NotImplementedYet):
+        t.delete("s")
+    with pytest.raises(TypeError):
+        mw.Stub(nothing=1)
+    r = Reader(t, "s", mode=EVENTS)
+    r.seek_tail()
+    assert r.read().messages == ["a"]
+    with pytest.raises(errors.NotFound):
+        r.read()
+    events.put(Chunk(["b"], "2", True))
+    events.close()
+    assert [x.messages for x in events] == [["b"]]
+
+
 class Flaky:
     def __init__(self, *errors_):
         self.left, self.calls = list(errors_), 0

@@ -70,37 +70,38 @@ def joined(data: Column, idx: Column) -> Column:
 
 def body(content_type: Column, data: Column, idx: Column) -> Column:
     """Aggregate: the response body of messages, by the stream's content type."""
-    return F.when(is_json(F.first(content_type)), wrapped(data, idx)).otherwise(joined(data, idx))
+    # A stream has one content type; the least is the same in every run.
+    return F.when(is_json(F.min(content_type)), wrapped(data, idx)).otherwise(joined(data, idx))
+
+
+def sliced(text: str | None) -> list[str] | None:
+    """The elements of a JSON array as they are written; empty for blank text; None for anything else."""
+    x = (text or "").strip(" \t\n\r")
+    if not x:
+        return []
+    if x[0] != "[" or x[-1] != "]":
+        return None
+    decoder, out, at = json.JSONDecoder(parse_constant=_refuse), [], 1
+    try:
+        while True:
+            while x[at] in " \t\n\r":
+                at += 1
+            if x[at] == "]" and not out:
+                return out if at == len(x) - 1 else None
+            _, end = decoder.raw_decode(x, at)
+            out.append(x[at:end])
+            at = end
+            while x[at] in " \t\n\r":
+                at += 1
+            if x[at] == "]":
+                return out if at == len(x) - 1 else None
+            if x[at] != ",":
+                return None
+            at += 1
+    except (ValueError, IndexError):
+        return None
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def raw_elements(text: pd.Series) -> pd.Series:
-    """The elements of a JSON array as they are written; empty for blank text; null for anything else."""
-
-    def cut(x):
-        x = (x or "").strip(" \t\n\r")
-        if not x:
-            return []
-        if x[0] != "[" or x[-1] != "]":
-            return None
-        decoder, out, at = json.JSONDecoder(parse_constant=_refuse), [], 1
-        try:
-            while True:
-                while x[at] in " \t\n\r":
-                    at += 1
-                if x[at] == "]" and not out:
-                    return out if at == len(x) - 1 else None
-                _, end = decoder.raw_decode(x, at)
-                out.append(x[at:end])
-                at = end
-                while x[at] in " \t\n\r":
-                    at += 1
-                if x[at] == "]":
-                    return out if at == len(x) - 1 else None
-                if x[at] != ",":
-                    return None
-                at += 1
-        except (ValueError, IndexError):
-            return None
-
-    return text.map(cut)
+    return text.map(sliced)

@@ -79,9 +79,55 @@ def append_messages(spark, d):
 
 
 def incremental_tail(spark, d):
-    m = _messages(spark, d)
-    old, new = m.where("idx <= 50"), reading.after(m, "0000000050")
-    return old.unionByName(new).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("tail_offset"), F.sum("n_bytes").cast("long").alias("bytes"))
+    """Two batches, the second numbered from the tails that the first left."""
+    e = _events(spark, d).select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("arrival"), F.col("props").alias("data"))
+    first = appending.number(e.where("arrival % 10 < 4 or arrival < 0"))
+    tails = first.groupBy("stream_id").agg(F.max("idx").alias("tail"))
+    second = appending.number(e.where("arrival % 10 >= 4"), tails=tails)
+    return first.unionByName(second).groupBy("stream_id").agg(F.count(F.lit(1)).alias("n"), F.max("offset").alias("tail_offset"), F.sum(F.when(F.col("arrival") % 10 >= 4, F.col("idx"))).alias("late_idx"), F.sum(F.octet_length("data")).cast("long").alias("bytes"))
+
+
+def notifications(spark, d):
+    """What a subscriber of each stream is told: the tail after each accepted append."""
+    rows = appending.decided(_appends(spark, d), _streams(spark, d), F.lit(NOW).cast("timestamp"))
+    tail = F.col("first") + F.size(appending.items("string"))
+    return rows.where("status = 'ok'").select("stream_id", "arrival", offsets.to_offset(tail.cast("long")).alias("next_offset"))
+
+
+def reader_chunks(spark, d):
+    """What a reader that catches up from the start gets, read by read."""
+    p = reading.pages(_messages(spark, d), 700).groupBy("stream_id", "page").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.sum("n_bytes").cast("long").alias("bytes"))
+    tails = p.groupBy("stream_id").agg(F.max("last").alias("tail"))
+    return p.join(tails, "stream_id").select("stream_id", "page", offsets.to_offset(F.col("first") - 1).alias("asked"), offsets.to_offset(F.col("last")).alias("next_offset"), "bytes", (F.col("last") == F.col("tail")).alias("up_to_date"))
+
+
+def source_lives(spark, d):
+    """A store's messages through the data source, after one stream was deleted and began anew."""
+    import uuid
+
+    from tidelog.sources import datasource
+    from tidelog.sources.store import LogStore
+
+    datasource.register(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    store = LogStore(spark, f"{shared.rstrip('/')}/log-{uuid.uuid4().hex}")
+    e = _events(spark, d).select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("arrival"), F.lit("text/plain").alias("content_type"), F.col("props").alias("body"), F.lit(None).cast("string").alias("seq"))
+    for (name,) in e.select("stream_id").distinct().where("stream_id is not null").collect():  # the streams of the log: a few
+        store.create(name, "text/plain")
+    store.append(e)
+    store.delete("click")
+    store.create("click", "text/plain")
+    store.append(e.where("stream_id = 'click' and arrival % 3 = 0"))
+    rows = spark.read.format("tidelog").option("path", store.root).load()
+    return rows.select("stream_id", "epoch", "idx", "offset", F.decode("data", "utf-8").alias("data"))
+
+
+def append_files(spark, d):
+    """Whole files appended to one stream, in the order of their paths."""
+    rows = appending.from_files(spark, f"{d}/{{nation,region,supplier}}.parquet", "files", "application/octet-stream")
+    streams_ = spark.createDataFrame([("files", "application/octet-stream", None)], "stream_id string, content_type string, expires_at timestamp")
+    _, messages = appending.append(rows, streams_, F.lit(NOW).cast("timestamp"), most=1 << 30)
+    return messages.select("stream_id", "arrival", "idx", "offset", "n_bytes", F.sha2("data", 256).alias("sha256"))
 
 
 def json_wrap(spark, d):
@@ -95,8 +141,8 @@ def text_concat(spark, d):
 
 
 def response_body(spark, d):
-    m = _messages(spark, d).where("idx <= 20").withColumn("content_type", F.when(F.col("stream_id") == "click", "text/plain").otherwise(" Application/JSON ; q=1"))
-    return m.groupBy("stream_id").agg(payload.body(F.col("content_type"), F.col("data"), F.col("idx")).alias("body"))
+    """response_pages under a budget of 2000 bytes a page."""
+    return response_pages(spark, d, 2000)
 
 
 def response_pages(spark, d, limit=requests.CHUNK):
@@ -165,7 +211,7 @@ def sse_frames(spark, d):
 
 def sse_decode(spark, d):
     m = sse_frames(spark, d).select("stream_id", "idx", F.inline(sse.decoded("frame")))
-    return m.where("type = 'data'").select("stream_id", "idx", "data")
+    return m.select("stream_id", "idx", "pos", "type", F.when(F.col("type") == "data", F.col("data")).alias("data"), "next_offset", "cursor")
 
 
 def offset_parse(spark, d):
@@ -231,19 +277,24 @@ def live_poll(spark, d):
 
 
 def error_status(spark, d):
+    """What each failed append is answered; the codes that no append of these has are dealt over the others by their arrival."""
     from tidelog import errors
 
-    rows = [(c, errors.status_of(c), errors.retryable(errors.status_of(c)), errors.client_code(errors.status_of(c))) for c in errors.STATUS]
-    known = spark.createDataFrame(rows, "status string, http int, retry boolean, client string")  # eight rows
-    return append_status(spark, d).where("status <> 'ok'").groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "status").select("status", "n", F.col("http").cast("long").alias("http"), "retry", "client")
+    rows = [(i, c, errors.status_of(c), errors.retryable(errors.status_of(c)), errors.client_code(errors.status_of(c)), type(errors.from_transport(errors.client_code(errors.status_of(c)), errors.status_of(c))).__name__) for i, c in enumerate(errors.STATUS)]
+    known = spark.createDataFrame(rows, "i long, code string, http int, retry boolean, client string, raised string")  # eight rows
+    failed = append_status(spark, d).where("status <> 'ok'").withColumn("i", F.col("arrival") % len(rows))
+    own = failed.join(F.broadcast(known.drop("i").withColumnRenamed("code", "status")), "status")
+    dealt = failed.select("i").join(F.broadcast(known.withColumnRenamed("code", "status")), "i").withColumn("status", F.concat(F.lit("any "), "status"))
+    cols = ["status", "http", "retry", "client", "raised"]
+    every = own.select(*cols).unionByName(dealt.select(*cols))
+    return every.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).select("status", "n", F.col("http").cast("long").alias("http"), "retry", "client", "raised")
 
 
 def backoff_schedule(spark, d):
     from tidelog.streaming.middleware import Backoff
 
-    b = Backoff(retries=12)
-    waits = F.array(*[F.lit(int(1000 * b.wait(k))) for k in range(12)])
-    return spark.range(1, 13).select(F.col("id").alias("attempt"), F.element_at(waits, F.col("id").cast("int")).cast("long").alias("wait_ms"))
+    k = _events(spark, d).select((F.col("event_id") % 12 + 1).alias("attempt")).distinct()
+    return k.select("attempt", Backoff(retries=12).wait_ms(F.col("attempt") - 1).alias("wait_ms"))
 
 
 _M = "SELECT event_type AS stream_id, event_id AS arrival, props AS data, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS idx, octet_length(encode(props)) AS n_bytes FROM events"
@@ -255,6 +306,10 @@ g AS (SELECT *, max(seq) OVER (PARTITION BY stream_id ORDER BY arrival ROWS BETW
 r AS (SELECT stream_id, arrival, 'bad_request' AS status FROM s WHERE bad UNION ALL SELECT stream_id, arrival, CASE WHEN seq IS NULL OR top IS NULL OR seq > top THEN 'ok' ELSE 'conflict' END FROM g)"""
 _T = "SELECT CAST(conv_id AS VARCHAR) AS stream_id, turn + 1 AS idx, coalesce(text, '') AS data FROM conversations"
 _OFF = "printf('%010d', {})"
+_PAGED = f"""WITH RECURSIVE m AS MATERIALIZED ({_M}), w(stream_id, idx, page, used) AS (
+      SELECT stream_id, idx, CAST(1 AS BIGINT), CAST(n_bytes AS BIGINT) FROM m WHERE idx = 1 UNION ALL
+      SELECT m.stream_id, m.idx, CASE WHEN w.used + m.n_bytes <= {{limit}} THEN w.page ELSE w.page + 1 END, CASE WHEN w.used + m.n_bytes <= {{limit}} THEN w.used + m.n_bytes ELSE m.n_bytes END
+      FROM w JOIN m ON m.stream_id = w.stream_id AND m.idx = w.idx + 1)"""
 
 SQL = {
     "log_offsets": f"SELECT stream_id, arrival, idx, {_OFF.format('idx')} AS \"offset\" FROM ({_M})",
@@ -265,21 +320,19 @@ SQL = {
       SELECT stream_id, CASE WHEN 10 > tail THEN 'gone' ELSE 'ok' END AS status, coalesce(n, 0) AS n_messages, CAST(coalesce(bytes, 0) AS BIGINT) AS n_bytes,
       CASE WHEN 10 <= tail THEN {_OFF.format('coalesce(last, 10)')} END AS next_offset, {_OFF.format('tail')} AS tail_offset, 10 <= tail AND coalesce(last, 10) = tail AS up_to_date FROM t LEFT JOIN g USING (stream_id)""",
     "page_rows": f"""SELECT stream_id, idx, {_OFF.format('idx')} AS "offset", data FROM (SELECT *, sum(n_bytes) OVER w AS b, row_number() OVER w AS k FROM ({_M}) WHERE idx > 10 WINDOW w AS (PARTITION BY stream_id ORDER BY idx)) WHERE b <= 500 OR k = 1""",
-    "all_pages": f"""WITH RECURSIVE m AS MATERIALIZED ({_M}), w(stream_id, idx, page, used) AS (
-      SELECT stream_id, idx, CAST(1 AS BIGINT), CAST(n_bytes AS BIGINT) FROM m WHERE idx = 1 UNION ALL
-      SELECT m.stream_id, m.idx, CASE WHEN w.used + m.n_bytes <= 300 THEN w.page ELSE w.page + 1 END, CASE WHEN w.used + m.n_bytes <= 300 THEN w.used + m.n_bytes ELSE m.n_bytes END
-      FROM w JOIN m ON m.stream_id = w.stream_id AND m.idx = w.idx + 1)
-      SELECT w.stream_id, page, min(w.idx) AS first_idx, max(w.idx) AS last_idx, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM w JOIN m ON m.stream_id = w.stream_id AND m.idx = w.idx GROUP BY 1, 2""",
+    "all_pages": _PAGED.format(limit=300) + """ SELECT w.stream_id, page, min(w.idx) AS first_idx, max(w.idx) AS last_idx, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM w JOIN m ON m.stream_id = w.stream_id AND m.idx = w.idx GROUP BY 1, 2""",
     "seq_gate": f"SELECT stream_id, arrival, coalesce(seq IS NULL OR top IS NULL OR seq > top, true) AS accepted FROM (SELECT *, max(seq) OVER (PARTITION BY stream_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM ({_A}))",
     "append_status": f"WITH {_ST} SELECT * FROM r",
     "append_messages": f"""WITH {_ST}, k AS (SELECT a.*, CASE WHEN arrival % 11 = 0 THEN 2 ELSE 1 END AS k, props FROM a JOIN r USING (stream_id, arrival) JOIN events e ON e.event_id = arrival WHERE status = 'ok'),
       n AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY stream_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM k),
       x AS (SELECT *, unnest(range(0, k)) AS pos FROM n)
       SELECT stream_id, arrival, CAST(pos AS INTEGER) AS pos, CAST(n + pos + 1 AS BIGINT) AS idx, {_OFF.format('CAST(n + pos + 1 AS BIGINT)')} AS "offset", CAST(octet_length(encode(CASE WHEN k = 2 THEN replace(props, ' ', '') ELSE props END)) AS BIGINT) AS n_bytes, CASE WHEN k = 2 THEN replace(props, ' ', '') ELSE props END AS data FROM x""",
-    "incremental_tail": f"SELECT stream_id, count(*) AS n, {_OFF.format('max(idx)')} AS tail_offset, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM ({_M}) GROUP BY 1",
+    "incremental_tail": f"""WITH m AS ({_M}), b AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY CASE WHEN arrival % 10 < 4 THEN 0 ELSE 1 END, arrival) AS k FROM m)
+      SELECT stream_id, count(*) AS n, {_OFF.format('count(*)')} AS tail_offset, CAST(sum(k) FILTER (arrival % 10 >= 4) AS BIGINT) AS late_idx, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM b GROUP BY 1""",
     "text_concat": f"SELECT stream_id, md5(b) AS body_md5, CAST(octet_length(encode(b)) AS BIGINT) AS n_bytes FROM (SELECT stream_id, string_agg(data, '' ORDER BY idx) AS b FROM ({_T}) GROUP BY 1)",
     "json_wrap": f"SELECT stream_id, md5(b) AS body_md5, CAST(octet_length(encode(b)) AS BIGINT) AS n_bytes FROM (SELECT stream_id, '[' || string_agg('{{\"data\":' || to_json(data) || '}}', ',' ORDER BY idx) || ']' AS b FROM ({_T}) GROUP BY 1)",
-    "response_body": f"SELECT stream_id, CASE WHEN stream_id = 'click' THEN string_agg(data, '' ORDER BY idx) ELSE '[' || string_agg(data, ',' ORDER BY idx) || ']' END AS body FROM ({_M}) WHERE idx <= 20 GROUP BY 1",
+    "response_body": _PAGED.format(limit=2000) + """ SELECT w.stream_id, page, min(w.idx) AS first_idx, max(w.idx) AS last_idx,
+      CASE WHEN w.stream_id = 'click' THEN string_agg(data, '' ORDER BY w.idx) ELSE '[' || string_agg(data, ',' ORDER BY w.idx) || ']' END AS body FROM w JOIN m ON m.stream_id = w.stream_id AND m.idx = w.idx GROUP BY 1, 2""",
     "json_flatten": "SELECT event_id // 4 AS batch, row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id) - 1 AS pos, replace(props, ' ', '') AS data FROM events",
     "json_explode": "SELECT event_id // 4 AS batch, row_number() OVER (PARTITION BY event_id // 4 ORDER BY event_id) - 1 AS pos, props AS data FROM events",
     "json_validity": f"SELECT arrival, CASE WHEN NOT json_valid(body) OR body = '[]' THEN 'bad_request' ELSE 'ok' END AS status FROM ({_A})",
@@ -293,7 +346,8 @@ SQL = {
     "delete_antijoin": "SELECT event_type AS stream_id, count(*) AS n FROM events WHERE NOT event_type < 'd' GROUP BY 1",
     "stream_epochs": "SELECT CAST(user_id AS VARCHAR) AS stream_id, event_id AS arrival, CASE WHEN event_id % 10 = 0 THEN 'delete' ELSE 'append' END AS op, CAST(coalesce(sum(CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS epoch FROM events",
     "sse_frames": f"""SELECT stream_id, idx, 'event: data' || chr(10) || 'data: ' || replace(data, chr(10), chr(10) || 'data: ') || chr(10) || chr(10) || 'event: control' || chr(10) || 'data: {{"streamNextOffset":"' || {_OFF.format('idx')} || '","streamCursor":"c1"}}' || chr(10) || chr(10) AS frame FROM ({_T})""",
-    "sse_decode": f"SELECT stream_id, idx, data FROM ({_T})",
+    "sse_decode": f"""SELECT stream_id, idx, 0 AS pos, 'data' AS type, data, NULL AS next_offset, NULL AS cursor FROM ({_T})
+      UNION ALL SELECT stream_id, idx, 1, 'control', NULL, {_OFF.format('idx')}, 'c1' FROM ({_T})""",
     "offset_parse": """WITH o AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN printf('%010d', event_id) WHEN event_id % 3 = 0 THEN CAST(event_id AS VARCHAR) ELSE ['', '-1', 'invalid', '12abc', '-2'][event_id % 5 + 1] END AS o FROM events),
       i AS (SELECT *, CASE WHEN o IN ('', '-1') THEN 0 ELSE TRY_CAST(nullif(regexp_extract(o, '^[+-]?[0-9]+'), '') AS BIGINT) END AS idx FROM o)
       SELECT event_id, o AS "offset", idx, CASE WHEN idx IS NULL THEN 'bad_request' WHEN idx < 0 OR idx > 500 THEN 'gone' ELSE 'ok' END AS status FROM i""",
@@ -309,9 +363,20 @@ SQL = {
     "routes": "SELECT event_id, ['create', 'append', 'read', 'head', 'delete', 'bad_request'][event_id % 6 + 1] AS operation FROM events",
     "call_counts": "SELECT ['create', 'append', 'read', 'head', 'delete', 'bad_request'][event_id % 6 + 1] AS operation, count(*) AS calls FROM events GROUP BY 1",
     "live_poll": f"WITH m AS ({_M}), t AS (SELECT *, max(idx) OVER (PARTITION BY stream_id) AS tail, idx * 37 % 400 AS pos FROM m) SELECT arrival, CAST(CASE WHEN pos < tail THEN 200 ELSE 204 END AS BIGINT) AS status, CASE WHEN pos < tail THEN {_OFF.format('tail')} ELSE {_OFF.format('pos')} END AS next_offset FROM t",
-    "error_status": f"WITH {_ST} SELECT status, count(*) AS n, CAST(CASE status WHEN 'conflict' THEN 409 ELSE 400 END AS BIGINT) AS http, false AS retry, CASE status WHEN 'conflict' THEN 'CONFLICT' ELSE 'BAD_REQUEST' END AS client FROM r WHERE status <> 'ok' GROUP BY 1",
-    "backoff_schedule": "SELECT CAST(k AS BIGINT) AS attempt, CAST(least(100 * pow(2, k - 1), 10000) AS BIGINT) AS wait_ms FROM range(1, 13) t(k)",
+    "error_status": f"""WITH {_ST}, f AS (SELECT status, arrival % 8 AS i FROM r WHERE status <> 'ok'),
+      k(i, code, http, retry, client, raised) AS (VALUES (0, 'bad_request', 400, false, 'BAD_REQUEST', 'BadRequest'), (1, 'not_found', 404, false, 'NOT_FOUND', 'NotFound'), (2, 'conflict', 409, false, 'CONFLICT', 'Conflict'), (3, 'gone', 410, false, 'GONE', 'Gone'),
+        (4, 'payload_too_large', 413, false, 'UNKNOWN', 'TransportError'), (5, 'too_many_requests', 429, true, 'RATE_LIMITED', 'TransportError'), (6, 'internal', 500, true, 'UNKNOWN', 'TransportError'), (7, 'not_implemented', 501, true, 'UNKNOWN', 'TransportError')),
+      x AS (SELECT status, http, retry, client, raised FROM f JOIN k ON code = status UNION ALL SELECT 'any ' || code, http, retry, client, raised FROM f JOIN k USING (i))
+      SELECT status, count(*) AS n, CAST(http AS BIGINT) AS http, retry, client, raised FROM x GROUP BY ALL""",
+    "backoff_schedule": "SELECT DISTINCT event_id % 12 + 1 AS attempt, CAST(least(100 * pow(2, event_id % 12), 10000) AS BIGINT) AS wait_ms FROM events",
+    "notifications": f"""WITH {_ST}, k AS (SELECT r.stream_id, arrival, CASE WHEN arrival % 11 = 0 THEN 2 ELSE 1 END AS k FROM r WHERE status = 'ok')
+      SELECT stream_id, arrival, {_OFF.format('CAST(sum(k) OVER (PARTITION BY stream_id ORDER BY arrival) AS BIGINT)')} AS next_offset FROM k""",
+    "reader_chunks": _PAGED.format(limit=700)
+    + f""", p AS (SELECT w.stream_id, page, min(w.idx) AS a, max(w.idx) AS b, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM w JOIN m ON m.stream_id = w.stream_id AND m.idx = w.idx GROUP BY 1, 2)
+      SELECT stream_id, page, {_OFF.format('a - 1')} AS asked, {_OFF.format('b')} AS next_offset, bytes, b = max(b) OVER (PARTITION BY stream_id) AS up_to_date FROM p""",
+    "source_lives": f"""WITH e AS (SELECT event_type AS stream_id, event_id, props AS data, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS epoch FROM events WHERE event_type IS NOT NULL AND (event_type <> 'click' OR event_id % 3 = 0)),
+      n AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY event_id) AS idx FROM e) SELECT stream_id, CAST(epoch AS BIGINT) AS epoch, idx, {_OFF.format('idx')} AS "offset", data FROM n""",
 }
 
-#: response_pages has no SQL; a test holds it to a plain loop.
-QUERIES = {k: globals()[k] for k in [*SQL, "response_pages"]}
+#: Without SQL, and held to plain loops by tests: response_pages, append_files.
+QUERIES = {k: globals()[k] for k in [*SQL, "response_pages", "append_files"]}

@@ -15,7 +15,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from tidelog import errors
 from tidelog.functions import events as sse
-from tidelog.functions import media, requests
+from tidelog.functions import media, payload, requests
 from tidelog.streaming.client import Chunk
 
 
@@ -23,8 +23,34 @@ def _kind(content_type: str) -> str:
     return content_type.split(";")[0].strip().lower()
 
 
-def body_of(content_type: str, messages: list[str]) -> str:
-    return f"[{','.join(messages)}]" if _kind(content_type) == media.JSON else "".join(messages)
+def raw(message: str | bytes) -> bytes:
+    return message.encode("utf-8", "surrogateescape") if isinstance(message, str) else message
+
+
+def body_of(content_type: str, messages: list[str | bytes]) -> bytes:
+    parts = [raw(x) for x in messages]
+    return b"[" + b",".join(parts) + b"]" if _kind(content_type) == media.JSON else b"".join(parts)
+
+
+def chunked(source, most: int) -> bytes:
+    """A body in chunked transfer coding; refused as soon as it is over the limit."""
+    out = bytearray()
+    while True:
+        line = source.readline(1 << 16)
+        try:
+            size = int(line.split(b";")[0].strip(), 16)
+        except ValueError:
+            raise errors.BadRequest("chunk size") from None
+        if size < 0:
+            raise errors.BadRequest("chunk size")
+        if not size:
+            while source.readline(1 << 16).strip():  # trailers
+                pass
+            return bytes(out)
+        if len(out) + size > most:
+            raise errors.PayloadTooLarge(str(len(out) + size))
+        out += source.read(size)
+        source.readline(1 << 16)
 
 
 def parse_ttl(header: str | None) -> int | None:
@@ -81,13 +107,8 @@ def serve(transport, port: int = 0, max_append: int = requests.MAX_APPEND, long_
         def _handle(self) -> None:
             url = urllib.parse.urlsplit(self.path)
             self.stream_id = urllib.parse.unquote(url.path)
-            size = int(self.headers.get("Content-Length") or 0)
-            # A body over the limit is refused before anything is stored.
-            body = self.rfile.read(size).decode() if size <= max_append else ""
             try:
-                if size > max_append:
-                    self.close_connection = True
-                    raise errors.PayloadTooLarge(str(size))
+                body = self._body()
                 operation = requests.ROUTES.get(self.command)
                 if operation is None:
                     raise errors.BadRequest(self.command)
@@ -95,17 +116,33 @@ def serve(transport, port: int = 0, max_append: int = requests.MAX_APPEND, long_
             except errors.LogError as e:
                 self._answer(e.status, json.dumps({"code": e.code, "message": str(e)}).encode(), Content_Type=media.JSON)
 
+        def _body(self) -> bytes:
+            """The request's body. One over the limit is refused before anything is stored."""
+            self.close_connection = True  # unless all of it is read
+            if "chunked" in (self.headers.get("Transfer-Encoding") or "").lower():
+                body = chunked(self.rfile, max_append)
+            else:
+                size = self.headers.get("Content-Length") or "0"
+                if not size.isdigit():
+                    raise errors.BadRequest("Content-Length")
+                if int(size) > max_append:
+                    raise errors.PayloadTooLarge(size)
+                body = self.rfile.read(int(size))
+            self.close_connection = (self.headers.get("Connection") or "").lower() == "close"
+            return body
+
         do_PUT = do_POST = do_GET = do_HEAD = do_DELETE = do_PATCH = _handle
 
-        def _create(self, query: str, body: str) -> None:
+        def _create(self, query: str, body: bytes) -> None:
             ttl, expires = self.headers.get("Stream-TTL"), self.headers.get("Stream-Expires-At")
             if ttl is not None and expires is not None:
                 raise errors.BadRequest("Stream-TTL and Stream-Expires-At")
             kind = self.headers.get("Content-Type") or media.DEFAULT
             made = transport.create(self.stream_id, content_type=kind, ttl_seconds=parse_ttl(ttl), expires_at=parse_expires(expires), body=body or None)
-            self._answer(201 if made else 200, Stream_Next_Offset=transport.head(self.stream_id)["next_offset"], Content_Type=kind)
+            place = f"http://{self.headers.get('Host') or '%s:%s' % self.server.server_address[:2]}{urllib.parse.quote(self.stream_id)}" if made else None
+            self._answer(201 if made else 200, Location=place, Stream_Next_Offset=transport.head(self.stream_id)["next_offset"], Content_Type=kind)
 
-        def _append(self, query: str, body: str) -> None:
+        def _append(self, query: str, body: bytes) -> None:
             kind = self.headers.get("Content-Type")
             head = transport.head(self.stream_id)
             if not kind:
@@ -114,7 +151,7 @@ def serve(transport, port: int = 0, max_append: int = requests.MAX_APPEND, long_
                 raise errors.Conflict("content type")
             self._answer(204, Stream_Next_Offset=transport.append(self.stream_id, body, kind, self.headers.get("Stream-Seq")))
 
-        def _read(self, query: str, body: str) -> None:
+        def _read(self, query: str, body: bytes) -> None:
             offset, live, cursor = parse_read(query)
             kind = transport.head(self.stream_id)["content_type"]
             if live == "sse":
@@ -124,7 +161,7 @@ def serve(transport, port: int = 0, max_append: int = requests.MAX_APPEND, long_
             if live and not got.messages:
                 return self._answer(204, **headers)
             cache = "no-store" if live else "public, max-age=60"
-            self._answer(200, body_of(kind, got.messages).encode(), Content_Type=kind, ETag=f"{self.stream_id}:{offset or ''}:{got.next_offset}", Cache_Control=cache, **headers)
+            self._answer(200, body_of(kind, got.messages), Content_Type=kind, ETag=f"{self.stream_id}:{offset or ''}:{got.next_offset}", Cache_Control=cache, **headers)
 
         def _events(self, offset: str, cursor: str | None, kind: str) -> None:
             chunks = transport.events(self.stream_id, offset, close_after)
@@ -143,19 +180,19 @@ def serve(transport, port: int = 0, max_append: int = requests.MAX_APPEND, long_
         def _frame(self, got: Chunk, cursor: str | None, kind: str) -> None:
             out = ""
             if got.messages:
-                data = body_of(kind, got.messages)
+                data = body_of(kind, got.messages).decode("utf-8", "replace")  # events are UTF-8
                 lines = [data] if _kind(kind) == media.JSON else data.split("\n")
                 out = "event: data\n" + "".join(f"data: {x}\n" for x in lines) + "\n"
             control = {"streamNextOffset": got.next_offset} | ({"streamCursor": cursor} if cursor else {})
             self.wfile.write((out + f"event: control\ndata: {json.dumps(control)}\n\n").encode())
             self.wfile.flush()
 
-        def _head(self, query: str, body: str) -> None:
+        def _head(self, query: str, body: bytes) -> None:
             h = transport.head(self.stream_id)
             expires = h["expires_at"].strftime("%Y-%m-%dT%H:%M:%SZ") if h["expires_at"] else None
             self._answer(200, Content_Type=h["content_type"], Stream_Next_Offset=h["next_offset"], Stream_TTL=h["ttl_seconds"] or None, Stream_Expires_At=expires, Cache_Control="no-store")
 
-        def _delete(self, query: str, body: str) -> None:
+        def _delete(self, query: str, body: bytes) -> None:
             transport.delete(self.stream_id)
             self._answer(204)
 
@@ -168,35 +205,38 @@ class HttpTransport:
     def __init__(self, base: str, headers=None, timeout: float = 60.0):
         self.base, self.headers, self.timeout = base.rstrip("/"), headers or {}, timeout
 
-    def _call(self, method: str, stream_id: str, query: dict | str | None = None, body: str | None = None, headers: dict | None = None, stream: bool = False):
+    def _call(self, method: str, stream_id: str, query: dict | str | None = None, body: str | bytes | None = None, headers: dict | None = None, stream: bool = False):
         url = self.base + urllib.parse.quote(stream_id) + ("?" + (query if isinstance(query, str) else urllib.parse.urlencode(query)) if query else "")
         own = self.headers() if callable(self.headers) else self.headers
         sent = {k: v for k, v in {**own, **(headers or {})}.items() if v is not None}
-        request = urllib.request.Request(url, body.encode() if body is not None else None, sent, method=method)
+        request = urllib.request.Request(url, raw(body) if body is not None else None, sent, method=method)
         try:
             answer = urllib.request.urlopen(request, timeout=self.timeout)
-            return answer if stream else (answer.status, answer.headers, answer.read().decode())
+            return answer if stream else (answer.status, answer.headers, answer.read())
         except urllib.error.HTTPError as e:
             raise errors.from_transport(errors.client_code(e.code), e.code, e.read().decode(errors="replace")) from None
         except urllib.error.URLError as e:
             raise ConnectionError(str(e.reason)) from None
 
     @staticmethod
-    def _chunk(status: int, headers, text: str, offset: str | None) -> Chunk:
+    def _chunk(status: int, headers, body: bytes, offset: str | None) -> Chunk:
+        """JSON arrays give their elements as they are written; other bodies are one message."""
         kind = headers.get("Content-Type") or ""
-        if status == 204 or not text:
-            items = []
+        if status == 204 or not body:
+            items: list = []
         elif _kind(kind) == media.JSON:
-            items = [json.dumps(x, separators=(",", ":")) for x in json.loads(text)]
+            items = payload.sliced(body.decode("utf-8", "surrogateescape"))
+            if items is None:
+                raise errors.TransportError("bad_answer", status, "not a JSON array")
         else:
-            items = [text]
+            items = [body.decode("utf-8", "surrogateescape") if _kind(kind).startswith("text/") else body]
         return Chunk(items, headers.get("Stream-Next-Offset") or offset or "", status == 204 or headers.get("Stream-Up-To-Date") == "true", headers.get("Stream-Cursor"))
 
     def create(self, stream_id: str, content_type=None, ttl_seconds=None, expires_at=None, body=None) -> bool:
         expires = expires_at.strftime("%Y-%m-%dT%H:%M:%SZ") if expires_at else None
         return self._call("PUT", stream_id, body=body or "", headers={"Content-Type": content_type or media.DEFAULT, "Stream-TTL": str(ttl_seconds) if ttl_seconds else None, "Stream-Expires-At": expires})[0] == 201
 
-    def append(self, stream_id: str, body: str, content_type=None, seq=None) -> str:
+    def append(self, stream_id: str, body: str | bytes, content_type=None, seq=None) -> str:
         return self._call("POST", stream_id, body=body, headers={"Content-Type": content_type, "Stream-Seq": seq})[1]["Stream-Next-Offset"]
 
     def read(self, stream_id: str, offset: str | None = None) -> Chunk:
@@ -207,10 +247,10 @@ class HttpTransport:
 
     def events(self, stream_id: str, offset: str, close_after: float | None = None):
         with self._call("GET", stream_id, {"offset": offset or "-1", "live": "sse"}, stream=True) as answer:
-            data: list[str] = []
+            data: list = []
             for kind, text in sse.frames(x.decode() for x in answer):
                 if kind == "data":
-                    data = [json.dumps(x, separators=(",", ":")) for x in json.loads(text)] if text[:1] == "[" else [text]
+                    data = [text] if (items := payload.sliced(text)) is None else items
                 else:
                     control = json.loads(text)
                     yield Chunk(data, control["streamNextOffset"], True, control.get("streamCursor"))

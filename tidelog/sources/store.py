@@ -1,19 +1,33 @@
 """A log on shared storage: Parquet tables, and commits by compare-and-swap.
 
-root/data/<name>    messages of one commit: stream_id, epoch, idx, offset, data, n_bytes
-root/state/<name>   a row for each stream: configuration, tail, last_seq, epoch
+root/data/<name>    messages of one commit: stream_id, epoch, idx, offset, data (bytes), n_bytes
+root/state/<name>   a row for each stream that the commit changed: configuration, tail, last_seq, epoch, version
+root/results/<name> what a batch was decided to be: its rows with their status and first index; it goes when its writer is answered
 root/commits/<n>    JSON: the commit's tables; created only if no other writer was faster
 
 A writer reads the newest state, computes, writes its tables under new names and then
-creates the next commit. If that exists by then, it begins again; readers never see the
-tables of a writer that lost or died.
+creates the next commit. If that exists by then, it waits a little and begins again, until
+its time is up; readers never see the tables of a writer that lost or died. What a batch is
+decided to be is written once; its messages, state and answers are all made from that.
+
+Commits never change, so each is read once by a process. Every FULL commits the state of
+all streams is written whole; between, only what changed. `compact` writes all live
+messages as one table in order of stream and index, and readers begin there.
+
+Commits are decided by creating a name that must not exist. On HDFS that is atomic for any
+writers; on a local disk for the threads of one process; object stores that let a rename
+overwrite are not safe for several writers.
 """
 
 from __future__ import annotations
 
 import json
+import random
+import threading
+import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +37,36 @@ from tidelog.functions import media, offsets
 from tidelog.operators import append as appending
 from tidelog.operators import read as reading
 
-STATE = "stream_id string, content_type string, ttl_seconds long, expires_at timestamp, tail long, last_seq string, epoch long"
-DATA = "stream_id string, epoch long, idx long, offset string, data string, n_bytes int"
+STATE = "stream_id string, content_type string, ttl_seconds long, expires_at timestamp, tail long, last_seq string, epoch long, version long"
+DATA = "stream_id string, epoch long, idx long, offset string, data binary, n_bytes int"
+APPENDS = "stream_id string, arrival long, content_type string, body binary, seq string"
+FULL = 16
+
+
+def names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def raw(body: str | bytes | None) -> bytes:
+    return body.encode("utf-8", "surrogateescape") if isinstance(body, str) else bytes(body or b"")
+
+
+def shown(content_type: str, data: bytes) -> str | bytes:
+    """A message as a client sees it: text of JSON and text streams (bytes that aren't UTF-8 as surrogate escapes), bytes of others."""
+    kind = content_type.split(";")[0].strip().lower()
+    return bytes(data).decode("utf-8", "surrogateescape") if kind == media.JSON or kind.startswith("text/") else bytes(data)
 
 
 class LogStore:
-    """`now` gives the time as a column; tests set it."""
+    """`now` gives the time as a column; tests set it. patience: seconds in which a writer tries to commit."""
 
-    def __init__(self, spark: SparkSession, root: str, now: Callable = F.current_timestamp, attempts: int = 5):
-        self.spark, self.root, self.now, self.attempts = spark, root.rstrip("/"), now, attempts
+    def __init__(self, spark: SparkSession, root: str, now: Callable = F.current_timestamp, patience: float = 120.0):
+        self.spark, self.root, self.now, self.patience = spark, root.rstrip("/"), now, patience
         self._hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path("commits"))
+        self._known: list[dict] = []
+        self._lock, self._turn, self._waiting = threading.Lock(), threading.Lock(), []
 
     def _path(self, *parts: str):
         return self._hadoop.Path("/".join([self.root, *parts]))
@@ -42,59 +74,86 @@ class LogStore:
     # commits
 
     def version(self) -> int:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path("commits"))]
-        return max((int(n) for n in names if n.isdigit()), default=0)
-
-    def commits(self, after: int = 0, upto: int | None = None) -> list[dict]:
-        out = []
-        for n in range(after + 1, (self.version() if upto is None else upto) + 1):
-            stream = self._fs.open(self._path("commits", f"{n:010d}"))
-            out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-            stream.close()
-        return out
+        return len(self.commits())
+
+    def commits(self) -> list[dict]:
+        """All commits, from the first on; those read before are not opened again."""
+        with self._lock:
+            while self._fs.exists(place := self._path("commits", f"{len(self._known) + 1:010d}")):
+                stream = self._fs.open(place)
+                self._known.append(json.loads(bytes(stream.readAllBytes()).decode()))
+                stream.close()
+            return list(self._known)
 
     def _commit(self, n: int, content: dict) -> bool:
         """Whether commit n is ours: it is written aside and renamed, which fails if it exists."""
         aside, place = self._path("commits", f"_{uuid.uuid4().hex}"), self._path("commits", f"{n:010d}")
-        if self._fs.exists(place):
-            return False
         out = self._fs.create(aside, False)
         out.write(bytearray(json.dumps(content | {"version": n}).encode()))
         out.close()
         done = False
         try:
-            # Creating the final name without overwriting decides between writers; the content follows by rename where that is atomic.
-            done = not self._fs.exists(place) and self._fs.rename(aside, place)
+            with _COMMITTING:  # the threads of this process; between processes the file system decides
+                done = not self._fs.exists(place) and self._fs.rename(aside, place)
         finally:
             if not done:
                 self._fs.delete(aside, False)
         return bool(done)
 
-    def state(self) -> DataFrame:
-        last = next((c["state"] for c in reversed(self.commits()) if c.get("state")), None)
-        return self.spark.read.schema(STATE).parquet(f"{self.root}/state/{last}") if last else self.spark.createDataFrame([], STATE)
+    def state(self, upto: int | None = None) -> DataFrame:
+        """The newest row of each stream."""
+        done = self.commits()[:upto]
+        full = max((i for i, c in enumerate(done) if c.get("full")), default=0)
+        paths = [f"{self.root}/state/{c['state']}" for c in done[full:] if c.get("state")]
+        if not paths:
+            return self.spark.createDataFrame([], STATE)
+        rows = self.spark.read.schema(STATE).parquet(*paths)
+        newest = rows.groupBy("stream_id").agg(F.max_by(F.struct(*names(STATE)[1:]), "version").alias("s"))
+        return newest.select("stream_id", "s.*")
+
+    def _data(self, done: list[dict]) -> list[str]:
+        last = max((i for i, c in enumerate(done) if c.get("compacted")), default=0)
+        return [f"{self.root}/data/{c['data']}" for c in done[last:] if c.get("data")]
 
     def messages(self) -> DataFrame:
         """All messages of streams as they live now."""
-        names = [c["data"] for c in self.commits() if c.get("data")]
-        rows = self.spark.read.schema(DATA).parquet(*[f"{self.root}/data/{n}" for n in names]) if names else self.spark.createDataFrame([], DATA)
-        return rows.join(self.state().select("stream_id", "epoch"), ["stream_id", "epoch"]).drop("epoch")
+        done = self.commits()
+        paths = self._data(done)
+        rows = self.spark.read.schema(DATA).parquet(*paths) if paths else self.spark.createDataFrame([], DATA)
+        return rows.join(self.state(len(done)).select("stream_id", "epoch"), ["stream_id", "epoch"]).drop("epoch")
 
     def _write(self, compute: Callable, tag: str | None = None):
-        """compute(state) -> (new state, messages or None, answer()); committed once, also if several writers try."""
-        for _ in range(self.attempts):
-            n, done = self.version(), self.commits()
+        """compute(state, name) -> (changed state or None, messages or None, more of the commit, answer()); committed once, also if several writers try."""
+        end, k = time.monotonic() + self.patience, 0
+        while True:
+            done = self.commits()
             if tag is not None and any(c.get("tag") == tag for c in done):
                 return None
-            state, data, answer = compute(self.state())
-            name, content = uuid.uuid4().hex, {"tag": tag}
+            n, name = len(done) + 1, uuid.uuid4().hex
+            state = self.state(len(done))
+            changed, data, content, answer = compute(state, name)
+            results = content.pop("results", None)
+            content = content | {"tag": tag}
             if data is not None:
-                data.select(*[x.split()[0] for x in DATA.split(", ")]).write.parquet(f"{self.root}/data/{name}")
+                data.select(*names(DATA)).write.parquet(f"{self.root}/data/{name}")
                 content["data"] = name
-            state.select(*[x.split()[0] for x in STATE.split(", ")]).write.parquet(f"{self.root}/state/{name}")
-            if self._commit(n + 1, content | {"state": name}):
-                return answer()
-        raise errors.Conflict("other writers were faster each time")
+            if changed is not None:
+                changed = changed.withColumn("version", F.lit(n).cast("long")).select(*names(STATE))
+                if n % FULL == 0:
+                    changed = changed.unionByName(state.join(changed.select("stream_id"), "stream_id", "left_anti").select(*names(STATE)))
+                    content["full"] = True
+                changed.write.parquet(f"{self.root}/state/{name}")
+                content["state"] = name
+            won = self._commit(n, content)
+            out = answer() if won else None
+            if results:
+                self._fs.delete(self._path("results", results), True)
+            if won:
+                return out
+            if time.monotonic() > end:
+                raise errors.Conflict("other writers were faster until the time was up")
+            time.sleep(random.uniform(0, min(2.0, 0.05 * 2**k)))
+            k += 1
 
     # operations
 
@@ -102,47 +161,87 @@ class LogStore:
         row = self.state().where(F.col("stream_id") == stream_id).withColumn("_alive", F.col("expires_at").isNull() | (self.now() <= F.col("expires_at"))).first()
         return row if row and row["epoch"] >= 0 and (row["_alive"] or not alive) else None
 
-    def create(self, stream_id: str, content_type: str | None = None, ttl_seconds: int | None = None, expires_at=None) -> bool:
-        """True if created, False if it was there with the same configuration."""
+    def create(self, stream_id: str, content_type: str | None = None, ttl_seconds: int | None = None, expires_at=None, body: str | bytes | None = None) -> bool:
+        """True if created - with the body, in one commit, or not at all -, False if it was there with the same configuration."""
         content_type = content_type or media.DEFAULT
-        old = self._row(stream_id, alive=False)
-        new = self.spark.createDataFrame([(stream_id, content_type, ttl_seconds or None, expires_at, 0, None, 0)], STATE)
-        if old:
-            same = old["content_type"].split(";")[0].strip().lower() == content_type.split(";")[0].strip().lower() and old["ttl_seconds"] == (ttl_seconds or None) and old["expires_at"] == expires_at
-            if not same:
-                raise errors.Conflict(stream_id)
-            return False
 
-        def compute(state: DataFrame):
-            before = state.where(F.col("stream_id") == stream_id).select((-F.col("epoch")).alias("e"))
-            fresh = new.drop("epoch").join(before, F.lit(True), "left").withColumn("epoch", F.coalesce("e", F.lit(0).cast("long"))).drop("e")
-            return state.where(F.col("stream_id") != stream_id).unionByName(fresh), None, lambda: True
+        def same(old) -> bool:
+            return old["content_type"].split(";")[0].strip().lower() == content_type.split(";")[0].strip().lower() and old["ttl_seconds"] == (ttl_seconds or None) and old["expires_at"] == expires_at
+
+        def compute(state: DataFrame, name: str):
+            old = state.where(F.col("stream_id") == stream_id).first()
+            if old and old["epoch"] >= 0:
+                if not same(old):
+                    raise errors.Conflict(stream_id)
+                raise _Exists
+            new = self.spark.createDataFrame([(stream_id, content_type, ttl_seconds or None, expires_at, 0, None, -old["epoch"] if old else 0, 0)], STATE)
+            if not raw(body):
+                return new, None, {}, lambda: True
+            first = self.spark.createDataFrame([(stream_id, 1, content_type, raw(body), None)], APPENDS)
+            changed, data, content, answer = self._appended(first, new, name)
+            errors.raise_for(answer()[0]["status"], stream_id)
+            return changed, data, content, lambda: True
 
-        return self._write(compute)
-
-    def append(self, appends: DataFrame, tag: str | None = None) -> list | None:
-        """Appends a batch (stream_id, arrival, content_type, body, seq) and gives its rows with status; None if tag was committed before."""
-
-        def compute(state: DataFrame):
-            live = state.where("epoch >= 0")
-            results, messages = appending.append(appends, live, self.now(), tails=live.select("stream_id", "tail"), last=live.select("stream_id", "last_seq"))
-            data = messages.join(live.select("stream_id", "epoch"), "stream_id")
-            tops = messages.groupBy("stream_id").agg(F.max("idx").alias("_tail"))
-            seqs = results.where("status = 'ok'").groupBy("stream_id").agg(F.max(F.nullif(F.col("seq"), F.lit(""))).alias("_seq"))
-            new = state.join(tops, "stream_id", "left").join(seqs, "stream_id", "left").withColumns({"tail": F.coalesce("_tail", "tail"), "last_seq": F.greatest("_seq", "last_seq")}).drop("_tail", "_seq")
-            return new, data, lambda: results.select("stream_id", "arrival", "status").collect()
+        try:
+            return self._write(compute)
+        except _Exists:
+            return False
 
-        return self._write(compute, tag)
+    def _appended(self, appends: DataFrame, live: DataFrame, name: str):
+        """Decides a batch, writes what it was decided to be, and makes all else from that."""
+        moment = self.spark.range(1).select(self.now().alias("t")).first()["t"]
+        rows = appends.select("stream_id", "arrival", "content_type", F.col("body").cast("binary").alias("body"), "seq")
+        rows = appending.decided(rows, live, F.lit(moment), tails=live.select("stream_id", "tail"), last=live.select("stream_id", "last_seq"))
+        rows.write.parquet(f"{self.root}/results/{name}")
+        rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/results/{name}")
+        data = appending.stored(rows).join(live.select("stream_id", "epoch"), "stream_id")
+        count = F.size(appending.items("binary")).cast("long")
+        tops = rows.where("status = 'ok'").groupBy("stream_id").agg(F.max(F.col("first") + count).alias("_tail"), F.max(F.nullif(F.col("seq"), F.lit(""))).alias("_seq"))
+        changed = live.join(tops, "stream_id").withColumns({"tail": F.col("_tail"), "last_seq": F.greatest("_seq", "last_seq")}).drop("_tail", "_seq")
+        return changed, data, {"results": name}, lambda: rows.select("stream_id", "arrival", "status", "first", count.alias("n")).collect()
 
-    def append_one(self, stream_id: str, body: str, content_type: str | None = None, seq: str | None = None) -> str:
-        """The offset after the body; raises what is wrong with it."""
-        row = self._row(stream_id)
-        one = self.spark.createDataFrame([(stream_id, 1, content_type or (row["content_type"] if row else media.DEFAULT), body, seq)], "stream_id string, arrival long, content_type string, body string, seq string")
-        errors.raise_for(self.append(one)[0]["status"], stream_id)
-        return self.head(stream_id)["next_offset"]
+    def append(self, appends: DataFrame, tag: str | None = None) -> list | None:
+        """Appends a batch (stream_id, arrival, content_type, body, seq) and gives its rows with status, as stored; None if tag was committed before."""
+        return self._write(lambda state, name: self._appended(appends, state.where("epoch >= 0"), name), tag)
+
+    def append_one(self, stream_id: str, body: str | bytes, content_type: str | None = None, seq: str | None = None) -> str:
+        """The offset after the body; raises what is wrong with it.
+
+        Threads that append at once share commits: one of them appends what all have
+        handed in by then, in that order, and the others find their answers.
+        """
+        one: dict = {"stream_id": stream_id, "body": raw(body), "content_type": content_type, "seq": seq}
+        with self._lock:
+            self._waiting.append(one)
+        with self._turn:
+            if "answer" not in one:
+                with self._lock:
+                    batch, self._waiting = self._waiting, []
+                self._append_all(batch)
+        if isinstance(one["answer"], Exception):
+            raise one["answer"]
+        errors.raise_for(one["answer"]["status"], stream_id)
+        return f"{one['answer']['first'] + one['answer']['n']:010d}"
+
+    def _append_all(self, batch: list[dict]) -> None:
+        try:
+            kinds = {}
+            if any(not x["content_type"] for x in batch):
+                ids = sorted({x["stream_id"] for x in batch})
+                kinds = {r["stream_id"]: r["content_type"] for r in self.state().where(F.col("stream_id").isin(ids)).select("stream_id", "content_type").collect()}
+            rows = [(x["stream_id"], i, x["content_type"] or kinds.get(x["stream_id"], media.DEFAULT), x["body"], x["seq"]) for i, x in enumerate(batch)]
+            for r in self.append(self.spark.createDataFrame(rows, APPENDS)):
+                batch[r["arrival"]]["answer"] = r
+        except Exception as e:
+            for x in batch:
+                x.setdefault("answer", e)
 
     def read(self, stream_id: str, offset: str | None = None, limit: int = 0) -> dict:
-        """messages (offset, data), next_offset and tail_offset."""
+        """messages (offset, data), next_offset and tail_offset.
+
+        Every message has a byte at least, so a page of `limit` bytes ends within as many
+        messages: the scan is bounded by index on both sides.
+        """
         row = self._row(stream_id)
         if not row:
             raise errors.NotFound(stream_id)
@@ -152,9 +251,12 @@ class LogStore:
             raise errors.BadRequest(str(e)) from None
         if not 0 <= at <= row["tail"]:
             raise errors.Gone(offset)
-        got = reading.page(self.messages().where((F.col("stream_id") == stream_id) & (F.col("idx") > at)), limit).orderBy("idx").select("idx", "offset", "data").collect()
+        got = []
+        if at < row["tail"]:
+            bounds = (F.col("idx") > at) & (F.col("idx") <= (at + limit if limit > 0 else row["tail"]))
+            got = reading.page(self.messages().where((F.col("stream_id") == stream_id) & bounds), limit).orderBy("idx").select("idx", "offset", "data").collect()  # a page, or a whole stream if no limit is asked for
         last = got[-1]["idx"] if got else at
-        return {"messages": [(r["offset"], r["data"]) for r in got], "next_offset": f"{last:010d}", "tail_offset": f"{row['tail']:010d}", "content_type": row["content_type"], "up_to_date": last == row["tail"]}
+        return {"messages": [(r["offset"], shown(row["content_type"], r["data"])) for r in got], "next_offset": f"{last:010d}", "tail_offset": f"{row['tail']:010d}", "content_type": row["content_type"], "up_to_date": last == row["tail"]}
 
     def head(self, stream_id: str) -> dict:
         row = self._row(stream_id)
@@ -164,12 +266,22 @@ class LogStore:
 
     def delete(self, stream_id: str) -> None:
         """Ends the stream's life, expired or not; a new one begins at offset 1."""
-        if not self._row(stream_id, alive=False):
-            raise errors.NotFound(stream_id)
 
-        def compute(state: DataFrame):
-            gone = F.col("stream_id") == stream_id  # epoch -(e + 1) keeps the number of lives
-            return state.withColumns({"epoch": F.when(gone, -(F.col("epoch") + 1)).otherwise(F.col("epoch")), "last_seq": F.when(~gone, F.col("last_seq")), "tail": F.when(gone, 0).otherwise(F.col("tail"))}), None, lambda: None
+        def compute(state: DataFrame, name: str):
+            row = state.where((F.col("stream_id") == stream_id) & (F.col("epoch") >= 0))
+            if not row.take(1):
+                raise errors.NotFound(stream_id)
+            # epoch -(e + 1) keeps the number of lives
+            return row.withColumns({"epoch": -(F.col("epoch") + 1), "last_seq": F.lit(None).cast("string"), "tail": F.lit(0).cast("long")}), None, {}, lambda: None
+
+        self._write(compute)
+
+    def compact(self) -> None:
+        """Writes the live messages as one table, sorted by stream and index, where readers begin from now on."""
+
+        def compute(state: DataFrame, name: str):
+            rows = self.messages().join(state.select("stream_id", "epoch"), "stream_id")
+            return None, rows.repartitionByRange("stream_id", "idx").sortWithinPartitions("stream_id", "idx"), {"compacted": True}, lambda: None
 
         self._write(compute)
 
@@ -177,5 +289,25 @@ class LogStore:
         """For foreachBatch: each micro-batch is appended once, also after a restart."""
         return lambda df, batch_id: self.append(df, tag=f"{name}:{batch_id}") and None
 
+    def absorb(self) -> int:
+        """Appends what df.write and df.writeStream of the data source have handed in, each batch once and in order; how many there were."""
+        folder, n = self._path("inbox", "ready"), 0
+        found = sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+        for name in found:
+            stream = self._fs.open(self._path("inbox", "ready", name))
+            files = json.loads(bytes(stream.readAllBytes()).decode())
+            stream.close()
+            if files:
+                n += self.append(reduce(DataFrame.union, [self.spark.read.schema(APPENDS).parquet(*files)]), tag=f"inbox:{name}") is not None
+            self._fs.delete(self._path("inbox", "ready", name), False)
+        return n
+
     def tails(self) -> DataFrame:
         return self.state().where("epoch >= 0").select("stream_id", offsets.to_offset(F.col("tail")).alias("next_offset"))
+
+
+class _Exists(Exception):
+    pass
+
+
+_COMMITTING = threading.Lock()

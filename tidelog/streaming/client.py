@@ -9,6 +9,7 @@ import json
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 from tidelog import errors
 from tidelog.functions import requests
@@ -18,9 +19,9 @@ AUTO, LONG_POLL, EVENTS = "auto", "long-poll", "sse"
 
 @dataclass
 class Chunk:
-    """What one read gives: messages as strings, the offset after them, and whether that is the tail."""
+    """What one read gives: messages (text of JSON and text streams, bytes of others), the offset after them, and whether that is the tail."""
 
-    messages: list[str]
+    messages: list[str | bytes]
     next_offset: str
     up_to_date: bool
     cursor: str | None = None
@@ -33,13 +34,10 @@ class LocalTransport:
     def __init__(self, store, chunk: int = requests.CHUNK, poll: float = 0.5):
         self.store, self.chunk, self.poll = store, chunk, poll
 
-    def create(self, stream_id: str, content_type=None, ttl_seconds=None, expires_at=None, body: str | None = None) -> bool:
-        made = self.store.create(stream_id, content_type, ttl_seconds, expires_at)
-        if made and body:
-            self.store.append_one(stream_id, body, content_type)
-        return made
+    def create(self, stream_id: str, content_type=None, ttl_seconds=None, expires_at=None, body: str | bytes | None = None) -> bool:
+        return self.store.create(stream_id, content_type, ttl_seconds, expires_at, body)
 
-    def append(self, stream_id: str, body: str, content_type=None, seq=None) -> str:
+    def append(self, stream_id: str, body: str | bytes, content_type=None, seq=None) -> str:
         return self.store.append_one(stream_id, body, content_type, seq)
 
     def read(self, stream_id: str, offset: str | None = None) -> Chunk:
@@ -74,14 +72,32 @@ class LocalTransport:
         self.store.delete(stream_id)
 
 
+class Transport(Protocol):
+    """What a client needs of a transport."""
+
+    def create(self, stream_id: str, content_type: str | None = None, ttl_seconds: int | None = None, expires_at=None, body: str | bytes | None = None) -> bool: ...
+
+    def append(self, stream_id: str, body: str | bytes, content_type: str | None = None, seq: str | None = None) -> str: ...
+
+    def read(self, stream_id: str, offset: str | None = None) -> Chunk: ...
+
+    def long_poll(self, stream_id: str, offset: str, timeout: float = requests.LONG_POLL_S) -> Chunk: ...
+
+    def events(self, stream_id: str, offset: str, close_after: float = requests.EVENTS_CLOSE_S) -> Iterator[Chunk]: ...
+
+    def head(self, stream_id: str) -> dict: ...
+
+    def delete(self, stream_id: str) -> None: ...
+
+
 class Writer:
     """Asks for the content type once and sends with it."""
 
-    def __init__(self, transport, stream_id: str):
+    def __init__(self, transport: Transport, stream_id: str):
         head = transport.head(stream_id)
         self.transport, self.stream_id, self.content_type, self.offset = transport, stream_id, head["content_type"], head["next_offset"]
 
-    def send(self, body: str, seq: str | None = None) -> str:
+    def send(self, body: str | bytes, seq: str | None = None) -> str:
         self.offset = self.transport.append(self.stream_id, body, self.content_type, seq)
         return self.offset
 
@@ -121,7 +137,7 @@ class Reader:
     def seek_tail(self) -> None:
         self.offset, self.live, self._events = self.transport.head(self.stream_id)["next_offset"], True, None
 
-    def messages(self, until_tail: bool = False) -> Iterator[str]:
+    def messages(self, until_tail: bool = False) -> Iterator[str | bytes]:
         """One message after another; errors that won't pass end it. until_tail: stops where it would wait."""
         while not self.closed:
             got = self.read()

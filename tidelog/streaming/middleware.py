@@ -6,10 +6,14 @@ A transport is any object with the methods of METHODS; a middleware takes one an
 from __future__ import annotations
 
 import logging
+import queue
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from tidelog import errors
 
 METHODS = ("create", "append", "read", "long_poll", "events", "head", "delete")
@@ -27,6 +31,10 @@ class Backoff:
     def wait(self, k: int) -> float:
         return min(self.first * self.factor**k, self.most)
 
+    def wait_ms(self, k: Column) -> Column:
+        """wait as a column, in whole milliseconds."""
+        return F.least(F.lit(1000 * self.first) * F.pow(F.lit(self.factor), k), F.lit(1000 * self.most)).cast("long")
+
 
 class Wrapped:
     """A transport whose calls go through call(name, next, args)."""
@@ -102,3 +110,55 @@ class Recorder(Wrapped):
 
     def count(self, name: str | None = None) -> int:
         return sum(name in (None, n) for n, _ in self.calls)
+
+
+class Stub:
+    """A transport whose methods answer with what it is given: a value, an exception (raised), or a function of the arguments; a list is gone through, its last item stays."""
+
+    def __init__(self, **answers):
+        unknown = set(answers) - set(METHODS)
+        if unknown:
+            raise TypeError(f"no methods of a transport: {sorted(unknown)}")
+        self.answers = answers
+
+    def __getattr__(self, name: str):
+        if name not in METHODS:
+            raise AttributeError(name)
+
+        def call(*args, **kwargs):
+            if name not in self.answers:
+                raise errors.NotImplementedYet(name)
+            answer = self.answers[name]
+            if isinstance(answer, list):
+                answer = answer.pop(0) if len(answer) > 1 else answer[0]
+            if isinstance(answer, Exception):
+                raise answer
+            return answer(*args, **kwargs) if callable(answer) else answer
+
+        return call
+
+
+class StubEvents:
+    """An event stream for tests: what is put in comes out, an exception is raised, close() ends it."""
+
+    def __init__(self, *chunks):
+        self._queue: queue.Queue = queue.Queue()
+        self.closed = False
+        for c in chunks:
+            self.put(c)
+
+    def put(self, chunk) -> None:
+        self._queue.put(chunk)
+
+    def close(self) -> None:
+        self.closed = True
+        self._queue.put(None)
+
+    def __call__(self, stream_id: str, offset: str, close_after: float | None = None):
+        return iter(self)
+
+    def __iter__(self):
+        while (item := self._queue.get()) is not None:
+            if isinstance(item, Exception):
+                raise item
+            yield item
