@@ -379,15 +379,15 @@ def roots_of(docs: DataFrame, owners: DataFrame, width: int, num: int, den: int,
     whole = lambda some: sets_for(docs, owners, some, width, True, apart)
     first = components_of(proven(written(close(pairs, sets, num, den), "join-close"), whole, num, den))
     # Signatures whose classes, the least one apart, are still in several components. Home: where a class's block is.
-    open_ = _labelled(met.where("cls <> c"), first)
+    open_ = written(_labelled(met.where("cls <> c"), first), "join-labelled")
     mixed = open_.groupBy("sig").agg(F.min("lab").alias("x"), F.max("lab").alias("y")).where("x <> y").select("sig")
-    rest = written(open_.join(mixed, "sig", "left_semi"), "join-open")
+    rest = written(spread_join(open_, mixed, "sig"), "join-open")
     if not rest.take(1):
         return first
     # The least that any class under one of its signatures meets: then those that meet often share a home, and blocks are full.
     least = rest.groupBy("cls").agg(F.min("c").alias("home"))
     near = rest.select("sig", "cls").join(least, "cls").groupBy("sig").agg(F.min("home").alias("home"))
-    home = rest.select("sig", "cls", "lab").join(near, "sig").groupBy("cls", "lab").agg(F.min("home").alias("home"))
+    home = spread_join(rest.select("sig", "cls", "lab"), near, "sig").groupBy("cls", "lab").agg(F.min("home").alias("home"))
     sizes = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).alias("k"))
     home = written(home.join(sizes, "home").select("cls", "lab", F.struct("home", F.pmod(F.xxhash64("cls"), F.col("k")).alias("i")).alias("block")), "join-blocks")
     at = rest.select("sig", "cls").join(home, "cls").select("sig", "block").distinct()
