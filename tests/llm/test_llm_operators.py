@@ -753,3 +753,111 @@ def test_pipeline(spark, docs, tmp_path):
     assert collections.Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == want and mixed.columns == one.columns
     packed = p.run(spark, str(tmp_path))
     assert packed.agg(F.sum("length")).first()[0] == packing.pieces(mixed, __import__("public_tokenizers").path("byte_bpe_50k.json")).agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_equals_plain_version(spark, tmp_path):
+    """run() against each stage done by plain loops: language models, all pairs, thresholds over sorted places, the file's own tokenizer."""
+    import corpus_pipeline as p
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    foreign = [(500 + k, " ".join("".join(chr(first + rng.randrange(40)) for _ in range(6)) for _ in range(30)), None, "a") for k, first in enumerate((0x0E01, 0x0410, 0x4E00, 0x0E01))]
+    rows = [r for r in corpus() if r[0] is not None] + foreign
+    documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    table_ = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    # 1. The sample is the operator's choice of texts; models and verdicts are plain.
+    samples = langid.sample(table_)
+    fitted = {k: [x for i, x in enumerate(v) if i % 4 != 3] or v for k, v in samples.items()}
+    held = {k: [x for i, x in enumerate(v) if i % 4 == 3] or v for k, v in samples.items()}
+    alphabet = {c for v in fitted.values() for x in v for c in x.lower()} | {"\x02"}
+    plain = {k: PlainKneserNey(v, alphabet) for k, v in fitted.items()}
+    known = lambda t: "".join(c if c in alphabet else "\0" for c in t.lower())
+    bounds = {}
+    for k, v in held.items():
+        texts = [x[:4000] for x in v if any(c.isalpha() for c in x)] or [" "]
+        texts += [x[a : a + n] for n in (20, 60, 200) for x in texts[:100] for a in range(0, min(len(x), 4 * n), n)]
+        n = np.array([len(x) for x in texts])
+        ce = np.array([-plain[k].log(known(x)) / len(x) for x in texts])
+        mean = np.average(ce, weights=np.minimum(n, 200))
+        a, b = np.linalg.lstsq(np.stack([np.ones(len(n)), 1 / n], 1), (ce - mean) ** 2, rcond=None)[0]
+        bounds[k] = mean, max(a, 1e-4), max(b, 1e-2)
+
+    def accepted(t):
+        if not t or not any(c.isalpha() for c in t):
+            return False
+        t = t[:6000]  # the one longer text repeats itself
+        logs = {k: m.log(known(t)) for k, m in plain.items()}
+        best = max(sorted(logs), key=logs.get)
+        mean, a, b = bounds[best]
+        return -logs[best] / len(t) <= mean + langid.REJECT * np.sqrt(a + b / len(t))
+
+    kept = [r for r in rows if accepted(r[1])]
+    assert {r[0] for r in rows} - {r[0] for r in kept} >= {500, 501, 502, 503, 60, 61, 62} and {r[0] for r in kept} >= set(range(60))
+    # 2. One document of each component of all pairs.
+    component = {i: c for i, _, c in brute([(i, t) for i, t, *_ in kept], 5, 80, 100)}
+    least, once = {}, {}
+    for r in kept:
+        least[component[str(r[0])]] = min(least.get(component[str(r[0])], r[0]), r[0])
+        once[r[0], r[1]] = r
+    unique = [r for (i, _), r in once.items() if i in least.values()]
+    # 3. Targets by filling up, takes by places in order.
+    size = lambda t: len(WORD.findall(t or ""))
+    by = collections.Counter()
+    for _, t, _, s in unique:
+        by[s] += size(t)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    weight = {s: k % 3 + 1.0 for k, s in enumerate(order)}
+    capped = set()
+    while True:
+        free = [s for s in order if s not in capped]
+        left = sum(by.values()) - sum(3.0 * by[s] for s in capped)
+        target = {s: 3.0 * by[s] if s in capped else left * weight[s] / sum(weight[x] for x in free) for s in order}
+        if not (over := {s for s in free if target[s] > 3 * by[s]}):
+            break
+        capped |= over
+    want = collections.Counter()
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    for s in order:
+        whole = int(target[s] / by[s] + 1e-9)
+        left, upto = max(0.0, target[s] - whole * by[s]), 0
+        for _, i, x in sorted((int(hashlib.md5(str(i).encode()).hexdigest()[:9], 16), i, x) for i, x, _, src in unique if src == s):
+            more = upto + size(x) <= left or (upto <= left and upto + size(x) - left < left - upto)
+            upto += size(x)
+            # 4. Tokens and the end, cut from the back into sequences.
+            ids = [*t.encode(x, add_special_tokens=False).ids, 0]
+            first = len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048
+            cuts = [0, *range(first, len(ids) + 1, 2048)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                want[i, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))] += min(3, whole + more)
+    got = p.run(spark, str(tmp_path)).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == +want
+    filled = collections.defaultdict(list)
+    for r in got:
+        filled[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in filled.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= 2048
+    assert len(filled) <= -(-sum(r["length"] for r in got) // 2048) + 2
+
+
+def test_pipeline_without_labels_and_with_clashing_columns(spark, docs, tmp_path):
+    import corpus_pipeline as p
+
+    odd = docs.select("doc_id", "text", "lang", "source", *[F.lit("x").alias(n) for n in ("lid_lang", "Lid_Score", "lid_accepted", "_id", "id", "bit", "null", "text_id", "row", "time", "times", "size", "taken", "_mix_source", "_place", "cls", "a.b")])
+    one = p.language(spark, odd, "")
+    assert one.columns == odd.columns and one.count() > 60
+    two = p.near_duplicates(spark, one, "")
+    assert two.columns == odd.columns and 0 < two.count() < one.count()
+    three = p.mixture(spark, two, "")
+    assert three.columns == odd.columns and three.count() > 0
+    assert p.packed(spark, three, "").count() >= three.count()
+    for rows in (docs.limit(0), docs.withColumn("lang", F.lit(None).cast("string"))):
+        for name, stage in p.STAGES:
+            out = stage(spark, rows, "")
+            assert name == "language ID" and not out.take(1) or rows.take(1) or not out.take(1)
+            rows = out

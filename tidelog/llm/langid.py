@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.cluster import column, free
+from tidelog.llm.cluster import column
 from tidelog.llm.text import mix
 
 ORDER = 4
@@ -328,17 +328,15 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text", names: tuple
     """docs with the predicted language, its score and whether it is accepted; rows stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = {n.lower() for n in names}
-    keep = [f for f in docs.schema.fields if f.name.lower() not in own]
-    text, = free(docs, "text")
+    keep = [c for c in docs.columns if c.lower() not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            *columns, texts = batch.columns
-            lang, score, ok = predict(shared.value, texts.to_pylist())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang), pa.array(score), pa.array(ok)], [*batch.schema.names[:-1], *names])
-
-    results = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
-    rows = docs.select(*[column(f.name) for f in keep], column(text_col).cast("string").alias(text))
-    return rows.mapInArrow(run, T.StructType([*keep, *results.fields]))
+            if batch.num_rows:
+                lang, score, ok = predict(shared.value, batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score), pa.array(ok)], ["row", "lang", "score", "ok"])
+
+    # Rows are carried whole, so that no name of a column matters.
+    rows = docs.select(F.struct(*map(column, keep)).alias("row"), column(text_col).cast("string").alias("text"))
+    kind = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ok", T.BooleanType())])
+    return rows.mapInArrow(run, kind).select("row.*", *[F.col(c).alias(n) for c, n in zip(("lang", "score", "ok"), names)])

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
-from tidelog.llm.cluster import MAP_BITS, bitmap, column, free, in_map, release, written
+from tidelog.llm.cluster import MAP_BITS, bitmap, column, in_map, release, written
 from tidelog.llm.graph import components_of, spread_join
 
 SMALL = 3
@@ -438,10 +438,8 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     # Most rows stay and don't repeat. The others are in a map; rows outside it pass where they are, those in it are joined.
     odd = marked.where(~F.col("kept") | (F.col("n") > 1))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(_map_bit("doc_id", "text_id"), odd))
-    ours = free(docs, "id", "text_id", "bit", "null")
-    id_, text_, bit, null = ours
-    rows = docs.select("*", column(id_col).cast("long").alias(id_), text_id(column(text_col)).alias(text_))
-    rows = rows.withColumn(bit, _map_bit(id_, text_))
+    # Rows are carried whole, so that no name of a column matters.
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(id_col).cast("long").alias("id"), text_id(column(text_col))).withColumn("bit", _map_bit("id", "text_id"))
     schema = rows.schema
 
     def passing(inside: bool):
@@ -452,8 +450,7 @@ def representatives(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
         return rows.mapInArrow(run, schema)
 
-    whole_key = {id_: F.coalesce(id_, F.lit(0).cast("long")), null: F.col(id_).isNull()}
-    kept = marked.where("kept").select(F.col("doc_id").alias(id_), F.col("text_id").alias(text_)).withColumns(whole_key)
-    joined = passing(True).withColumns(whole_key).join(kept, [id_, text_, null], "left_semi").dropDuplicates([id_, text_, null])
-    own = [column(c) for c in docs.columns]
-    return passing(False).select(*own).union(joined.select(*own))
+    key = ["id", "text_id", "null"]
+    kept = marked.where("kept").select(F.col("doc_id").alias("id"), "text_id").withColumns({"null": F.col("id").isNull()}).withColumn("id", F.coalesce("id", F.lit(0).cast("long")))
+    joined = passing(True).withColumn("null", F.col("id").isNull()).withColumn("id", F.coalesce("id", F.lit(0).cast("long"))).join(kept, key, "left_semi").dropDuplicates(key)
+    return passing(False).select("row.*").union(joined.select("row.*"))
