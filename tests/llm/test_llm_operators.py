@@ -571,6 +571,31 @@ def test_training_is_aggregated(spark, docs, monkeypatch):
         last, model = got[3], hmm.Model(got[0] / got[0].sum(), got[1] / got[1].sum(axis=1, keepdims=True), got[2] / got[2].sum(axis=0))
 
 
+def test_every_pass_reads_all_training_texts(spark, monkeypatch):
+    """On half a million tokens, the model is that of plain passes over all training texts until one gains too little."""
+    rng = random.Random(8)
+    topics = [[f"{a}{i}" for i in range(60)] for a in "pqr"]
+    rows = [(i, " ".join(rng.choices(rng.choice(topics), k=40) * 25), i % 5 == 1) for i in range(630)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    train = docs.where("not held_out")
+    known = hmm.head(hmm.count_words(train), train.count())
+    seen = hmm.encode(docs.select("doc_id", "held_out", "text"), known).cache()
+    symbols = hmm.unpacked(pa.array([r["symbols"] for r in seen.where("not held_out").select("symbols").collect()], pa.binary()))
+    assert known.tokens == sum(map(len, symbols)) == 504 * 1001
+    want, last = hmm.begin(known), -np.inf
+    gains = []
+    while len(gains) < hmm.LEAST or gains[-1] >= hmm.TOLERANCE:
+        *sums, log = hmm.expected(want, symbols)
+        want = hmm.maximised(*sums, known.weight)
+        gains.append(log / known.tokens - last)
+        last = log / known.tokens
+    read, plain = [], hmm.aggregated
+    monkeypatch.setattr(hmm, "aggregated", lambda *x: read.append((got := plain(*x))[4]) or got)
+    model = hmm.baum_welch(seen, known)
+    assert read == [known.tokens] * len(gains)
+    assert all(np.allclose(a, b) for a, b in zip((model.start, model.move, model.emit), (want.start, want.move, want.emit)))
+
+
 def test_lm_scores(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "HEAD", 24)
     monkeypatch.setattr(hmm, "OWN", 10)

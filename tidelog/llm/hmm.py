@@ -12,10 +12,10 @@ What is counted: every training token, by word, in one distributed sum. Words at
 above a count that HEAD words exceed at most are looked up in a broadcast table of that
 bound; all others meet their counts in a join, so no count is dropped or hashed away.
 (Words are told apart by 64-bit hashes.) In a pass of Baum-Welch each task sums the
-expected counts of its texts and Spark adds them up by symbol. The first WARM passes run
-over a share of the training texts (a SHARE of them, or as many as hold SAMPLE_TOKENS
-tokens), the others over all of them, until a pass gains less than TOLERANCE in log10
-likelihood a token, or PASSES of them.
+expected counts of its texts and Spark adds them up by symbol. Every pass runs over all
+training texts, from a start made of the counts alone. From pass LEAST on, one that gains
+less than TOLERANCE in log10 likelihood a token is the last; nothing else bounds their
+number (no likelihood is above 0, so gains of that size run out).
 
 Defined cases: null text is empty and consists of the end alone; rows that repeat are
 scored (and learned from) as often as they occur; a null id belongs to the training
@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import ceil
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as words
-from tidelog.llm.cluster import column, tasks, written
+from tidelog.llm.cluster import column, written
 from tidelog.llm.langid import held_out
 
 STATES = 8
 #: Most words with a broadcast count, and most with emissions of their own.
 HEAD, OWN = 1 << 18, 1 << 14
 CLASSES = 1 << 10
-#: Baum-Welch: passes over a share of the texts, and most passes over all of them.
-SHARE, SAMPLE_TOKENS, WARM, PASSES = 1 / 16, 400_000, 5, 4
-#: Gain in log10 likelihood a token below which a pass over all texts is the last.
-TOLERANCE = 0.005
+#: Baum-Welch: passes before gains count, and the gain in log10 likelihood a token below which a pass is the last.
+LEAST, TOLERANCE = 5, 0.005
 #: Weight of the corpus distribution in each state's emissions, and of even transitions, in tokens.
 PRIOR, EVEN = 200.0, 1.0
 FLUSH, CHUNK = 1 << 22, 1 << 19
@@ -385,27 +383,17 @@ def aggregated(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, n
 
 
 def baum_welch(seen: DataFrame, known: Words) -> Model:
-    """Trained on the rows of `seen` that aren't held out."""
-    spark, rows, model = seen.sparkSession, seen.where(~F.col("held_out")), begin(known)
+    """Trained on all rows of `seen` that aren't held out, in every pass."""
+    rows, model = seen.where(~F.col("held_out")), begin(known)
     if not known.texts:
         return model
-    part = min(1.0, max(SHARE, SAMPLE_TOKENS / known.tokens))
-    below = F.shiftrightunsigned(F.xxhash64("symbols", F.lit(11)), 40) < int(part * (1 << 24))
-    few = rows.where(below).select("symbols")
-    few = written(few.repartition(ceil(tasks(spark) * min(1.0, 4 * part))), "lm-share")
-    for _ in range(WARM):
-        *counts, _, n = aggregated(few, model)
-        if not n:
-            break
-        model = maximised(*counts, known.weight)
     last = -np.inf
-    for _ in range(PASSES):
+    for k in count(1):
         *counts, log, n = aggregated(rows, model)
         model = maximised(*counts, known.weight)
-        if log / n - last < TOLERANCE:
-            break
+        if k >= LEAST and not log / n - last >= TOLERANCE:
+            return model
         last = log / n
-    return model
 
 
 def likelihoods(seen: DataFrame, model: Model) -> DataFrame:
