@@ -309,3 +309,34 @@ def test_chain_order():
     tag = lambda n: lambda inner: mw.Wrapped(inner, lambda name, go, _: (seen.append(n), go())[1])
     mw.chain(tag("a"), tag("b"), tag("c"))(Flaky()).read("s")
     assert seen == ["a", "b", "c"] and mw.Backoff(most=1.0).wait(9) == 1.0
+
+
+def test_answers_of_a_batch_stay_in_storage(spark, store, monkeypatch):
+    """An append takes no row of its batch to the driver; answers come part by part, and their table goes when nobody holds them."""
+    import gc
+    import os
+
+    from pyspark.sql import DataFrame
+
+    store.create("s", "text/plain")
+    rows = spark.range(1, 5001, numPartitions=8).selectExpr("'s' AS stream_id", "id AS arrival", "'text/plain' AS content_type", "concat('m', id) AS body", "CAST(NULL AS string) AS seq")
+    taken, collect = [], DataFrame.collect
+
+    def counting(df):
+        out = collect(df)
+        taken.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counting)
+    answers = store.append(rows)
+    store.sink("k")(rows, 0)
+    assert sum(taken) < 100
+    monkeypatch.undo()
+    kept = os.listdir(f"{store.root}/results")
+    assert len(kept) == 1 and len(answers) == 5000
+    assert [(r["status"], r["first"], r["n"]) for r in sorted(answers, key=lambda r: r["arrival"])] == [("ok", i, 1) for i in range(5000)]
+    assert {r["status"] for r in store.append(rows.where("arrival < 3"))} == {"ok"}
+    del answers
+    gc.collect()
+    store.append_one("s", "x")
+    assert os.listdir(f"{store.root}/results") == [] and store.head("s")["next_offset"] == "0000010003"

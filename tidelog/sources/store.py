@@ -2,7 +2,7 @@
 
 root/data/<name>    messages of one commit: stream_id, epoch, idx, offset, data (bytes), n_bytes
 root/state/<name>   a row for each stream that the commit changed: configuration, tail, last_seq, epoch, version
-root/results/<name> what a batch was decided to be: its rows with their status and first index; it goes when its writer is answered
+root/results/<name> what a batch was decided to be: its rows with their status and first index; it goes when nobody holds its answers
 root/commits/<n>    JSON: the commit's tables; created only if no other writer was faster
 
 A writer reads the newest state, computes, writes its tables under new names and then
@@ -26,10 +26,11 @@ import random
 import threading
 import time
 import uuid
-from collections.abc import Callable
+import weakref
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import errors
@@ -57,6 +58,31 @@ def shown(content_type: str, data: bytes) -> str | bytes:
     return bytes(data).decode("utf-8", "surrogateescape") if kind == media.JSON or kind.startswith("text/") else bytes(data)
 
 
+class Answers:
+    """The rows of a batch as they were decided: stream_id, arrival, status, first, n.
+
+    They stay in storage and are read as they are gone through, a part at a time, so a
+    batch of any size takes no more of the driver than another. Their table goes after
+    close(), or with the store's next write once nobody holds them.
+    """
+
+    def __init__(self, rows: DataFrame, drop: Callable):
+        self.rows, self._drop = rows, drop
+
+    def __len__(self) -> int:
+        return self.rows.count()
+
+    def __iter__(self) -> Iterator[Row]:
+        yield from self.rows.toLocalIterator()  # a generator: it holds the answers until it ends
+
+    def collect(self) -> list[Row]:
+        """All at once; for batches that came from the driver."""
+        return self.rows.collect()
+
+    def close(self) -> None:
+        self._drop()
+
+
 class LogStore:
     """`now` gives the time as a column; tests set it. patience: seconds in which a writer tries to commit."""
 
@@ -66,6 +92,7 @@ class LogStore:
         self._fs = self._hadoop.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path("commits"))
         self._known: list[dict] = []
+        self._given: dict[str, weakref.ref] = {}
         self._lock, self._turn, self._waiting = threading.Lock(), threading.Lock(), []
 
     def _path(self, *parts: str):
@@ -122,8 +149,27 @@ class LogStore:
         rows = self.spark.read.schema(DATA).parquet(*paths) if paths else self.spark.createDataFrame([], DATA)
         return rows.join(self.state(len(done)).select("stream_id", "epoch"), ["stream_id", "epoch"]).drop("epoch")
 
+    def _drop(self, name: str) -> None:
+        with self._lock:
+            self._given.pop(name, None)
+        place = self._path("results", name)
+        self._fs.delete(place, True)
+        self._fs.cancelDeleteOnExit(place)
+
+    def _give(self, rows: DataFrame, name: str) -> Answers:
+        """The answers in a results table, which is dropped when they are closed or held no more, or else with the session."""
+        out = Answers(rows, lambda: self._drop(name))
+        self._fs.deleteOnExit(self._path("results", name))
+        with self._lock:
+            self._given[name] = weakref.ref(out)
+        return out
+
     def _write(self, compute: Callable, tag: str | None = None):
         """compute(state, name) -> (changed state or None, messages or None, more of the commit, answer()); committed once, also if several writers try."""
+        with self._lock:
+            held_no_more = [name for name, held in self._given.items() if held() is None]
+        for name in held_no_more:
+            self._drop(name)
         end, k = time.monotonic() + self.patience, 0
         while True:
             done = self.commits()
@@ -145,11 +191,10 @@ class LogStore:
                 changed.write.parquet(f"{self.root}/state/{name}")
                 content["state"] = name
             won = self._commit(n, content)
-            out = answer() if won else None
-            if results:
-                self._fs.delete(self._path("results", results), True)
             if won:
-                return out
+                return answer()
+            if results:
+                self._drop(results)
             if time.monotonic() > end:
                 raise errors.Conflict("other writers were faster until the time was up")
             time.sleep(random.uniform(0, min(2.0, 0.05 * 2**k)))
@@ -179,8 +224,14 @@ class LogStore:
                 return new, None, {}, lambda: True
             first = self.spark.createDataFrame([(stream_id, 1, content_type, raw(body), None)], APPENDS)
             changed, data, content, answer = self._appended(first, new, name)
-            errors.raise_for(answer()[0]["status"], stream_id)
-            return changed, data, content, lambda: True
+            answers = answer()
+            errors.raise_for(answers.collect()[0]["status"], stream_id)
+
+            def created() -> bool:
+                answers.close()
+                return True
+
+            return changed, data, content, created
 
         try:
             return self._write(compute)
@@ -198,9 +249,9 @@ class LogStore:
         count = F.size(appending.items("binary")).cast("long")
         tops = rows.where("status = 'ok'").groupBy("stream_id").agg(F.max(F.col("first") + count).alias("_tail"), F.max(F.nullif(F.col("seq"), F.lit(""))).alias("_seq"))
         changed = live.join(tops, "stream_id").withColumns({"tail": F.col("_tail"), "last_seq": F.greatest("_seq", "last_seq")}).drop("_tail", "_seq")
-        return changed, data, {"results": name}, lambda: rows.select("stream_id", "arrival", "status", "first", count.alias("n")).collect()
+        return changed, data, {"results": name}, lambda: self._give(rows.select("stream_id", "arrival", "status", "first", count.alias("n")), name)
 
-    def append(self, appends: DataFrame, tag: str | None = None) -> list | None:
+    def append(self, appends: DataFrame, tag: str | None = None) -> Answers | None:
         """Appends a batch (stream_id, arrival, content_type, body, seq) and gives its rows with status, as stored; None if tag was committed before."""
         return self._write(lambda state, name: self._appended(appends, state.where("epoch >= 0"), name), tag)
 
@@ -230,8 +281,10 @@ class LogStore:
                 ids = sorted({x["stream_id"] for x in batch})
                 kinds = {r["stream_id"]: r["content_type"] for r in self.state().where(F.col("stream_id").isin(ids)).select("stream_id", "content_type").collect()}
             rows = [(x["stream_id"], i, x["content_type"] or kinds.get(x["stream_id"], media.DEFAULT), x["body"], x["seq"]) for i, x in enumerate(batch)]
-            for r in self.append(self.spark.createDataFrame(rows, APPENDS)):
+            answers = self.append(self.spark.createDataFrame(rows, APPENDS))
+            for r in answers.collect():
                 batch[r["arrival"]]["answer"] = r
+            answers.close()
         except Exception as e:
             for x in batch:
                 x.setdefault("answer", e)
@@ -287,7 +340,13 @@ class LogStore:
 
     def sink(self, name: str) -> Callable:
         """For foreachBatch: each micro-batch is appended once, also after a restart."""
-        return lambda df, batch_id: self.append(df, tag=f"{name}:{batch_id}") and None
+
+        def once(df: DataFrame, batch_id: int) -> None:
+            answers = self.append(df, tag=f"{name}:{batch_id}")
+            if answers is not None:
+                answers.close()
+
+        return once
 
     def absorb(self) -> int:
         """Appends what df.write and df.writeStream of the data source have handed in, each batch once and in order; how many there were."""
@@ -298,7 +357,10 @@ class LogStore:
             files = json.loads(bytes(stream.readAllBytes()).decode())
             stream.close()
             if files:
-                n += self.append(reduce(DataFrame.union, [self.spark.read.schema(APPENDS).parquet(*files)]), tag=f"inbox:{name}") is not None
+                answers = self.append(reduce(DataFrame.union, [self.spark.read.schema(APPENDS).parquet(*files)]), tag=f"inbox:{name}")
+                if answers is not None:
+                    answers.close()
+                    n += 1
             self._fs.delete(self._path("inbox", "ready", name), False)
         return n
 
