@@ -142,3 +142,37 @@ def test_hot_stream_is_spread(spark):
     assert "windowspecdefinition(stream_id" in plan and "_span" in plan
     got = append.number(df, span=100)
     assert [r["idx"] for r in got.orderBy("arrival").collect()] == list(range(1, 1001))
+
+
+def test_large_streams_stay_spread_after_they_meet_their_configuration(spark):
+    """With large streams a row's way is by (stream, span), and rows of one stream are many groups; results are those of one group a stream."""
+    import re
+
+    js = "application/json"
+    bodies = ['{"a": 1}', "[1,2,3]", "[]", "{bad", ""]
+    rows = [("hot", i, js, bodies[i * 7 % 5], f"s{(i * 31) % 977:04d}" if i % 3 == 0 else None) for i in range(600)]
+    rows += [("few", i, js, bodies[i % 5], None) for i in range(9)] + [(None, i, js, "1", None) for i in range(3)] + [("none", 1, js, "1", None)]
+    df = spark.createDataFrame(rows, "stream_id string, arrival long, content_type string, body string, seq string")
+    st = spark.createDataFrame([(s, js, None) for s in ("hot", "few", "idle")], "stream_id string, content_type string, expires_at timestamp")
+    tails = spark.createDataFrame([("hot", 5), ("few", 7)], "stream_id string, tail long")
+    last = spark.createDataFrame([("hot", "s0100")], "stream_id string, last_seq string")
+
+    def decided(span):
+        return append.decided(df, st, NOW(), tails=tails, last=last, span=span)
+
+    columns = ["stream_id", "arrival", "status", "json", "first"]
+    got, want = (sorted(map(repr, decided(span).select(*columns).collect())) for span in (50, 1000))
+    assert got == want and len(got) == len(rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a table of streams too large for a broadcast
+    try:
+        out = append.decided(df, st, NOW(), span=50).select("stream_id", "arrival", "first")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin) \[([^\]]*)\]", plan)
+        assert joins and all("_span" in j for j in joins), joins  # by stream alone, a stream would be one task
+        out.collect()
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final and final.count("ArrowEvalPython [strict_json") == 1  # totals and rows read one shuffle
+        assert sorted(map(repr, append.decided(df, st, NOW(), tails=tails, last=last, span=50).select(*columns).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -36,21 +36,31 @@ def _text(body: Column, kind: str) -> Column:
     return F.try_validate_utf8(body.cast("string")) if kind == "binary" else body
 
 
-def check(appends: DataFrame, streams: DataFrame, now: Column, most: int = requests.MAX_APPEND) -> DataFrame:
-    """appends with status (before the sequence gate) and json. Columns: stream_id, arrival, content_type, body (text or bytes), seq."""
-    s = streams.select("stream_id", F.col("content_type").alias("_type"), F.col("expires_at").alias("_expires"))
+def check(appends: DataFrame, streams: DataFrame, now: Column, most: int = requests.MAX_APPEND, by: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+    """appends with status (before the sequence gate), json and, where the status is ok, n: the messages of the body.
+
+    Columns: stream_id, arrival, content_type, body (text or bytes), seq. What depends on
+    the body alone is found before rows meet their streams: bodies are shuffled with them
+    only where they are asked for. by: what rows and streams are joined by.
+    """
+    s = streams.select(*by, F.col("content_type").alias("_type"), F.col("expires_at").alias("_expires"))
     is_json = media.is_json(F.col("_type"))
     status = (
         F.when(F.col("_type").isNull() | ~requests.alive(F.col("_expires"), now), "not_found")
         .when(F.col("content_type").isNull() | (F.trim("content_type") == ""), "bad_request")
         .when(~media.same(F.col("content_type"), F.col("_type")), "conflict")
-        .when(requests.too_large(F.col("body"), most), "payload_too_large")
-        .when(F.coalesce(F.octet_length("body"), F.lit(0)) == 0, "bad_request")
-        .when(is_json, F.col("_json"))
+        .when(F.col("_large"), "payload_too_large")
+        .when(F.col("_empty"), "bad_request")
+        .when(is_json & F.col("_parts").isNull(), "bad_request")
         .otherwise("ok")
     )
-    rows = appends.join(s, "stream_id", "left").withColumn("_json", payload.json_status(_text(F.col("body"), dict(appends.dtypes)["body"])))
-    return rows.withColumn("status", status).withColumn("json", F.coalesce(is_json, F.lit(False))).drop("_type", "_expires", "_json")
+    text, large = _text(F.col("body"), dict(appends.dtypes)["body"]), requests.too_large(F.col("body"), most)
+    rows = appends.withColumns({"_json": payload.json_status(text), "_large": large, "_empty": F.coalesce(F.octet_length("body"), F.lit(0)) == 0})
+    # The messages of a good JSON body, -1 if Spark can't tell them; null for others.
+    rows = rows.withColumn("_parts", F.when((F.col("_json") == "ok") & ~F.col("_large"), F.coalesce(F.size(payload.elements(text)).cast("long"), F.lit(-1).cast("long"))))
+    rows = rows.join(s, list(by), "left").withColumns({"status": status, "json": F.coalesce(is_json, F.lit(False))})
+    n = F.when(F.col("status") == "ok", F.when(~F.col("json"), F.lit(1).cast("long")).when(F.col("_parts") >= 0, F.col("_parts")))
+    return rows.withColumn("n", n).drop("_type", "_expires", "_json", "_large", "_empty", "_parts")
 
 
 def items(kind: str) -> Column:
@@ -61,24 +71,32 @@ def items(kind: str) -> Column:
 
 
 def decided(appends: DataFrame, streams: DataFrame, now: Column, tails: DataFrame | None = None, last: DataFrame | None = None, most: int = requests.MAX_APPEND, span: int = scan.SPAN) -> DataFrame:
-    """appends with status, json, and of the good ones first: the index before their first message.
+    """appends with status, json, and of the good ones first, the index before their first message, and n, their messages.
 
     One pass over the rows: the checks, then the gate and the numbering as windows over
-    the same exchange. Bad rows stand in it with no seq and no messages.
+    the same exchange. Bad rows stand in it with no seq and no messages. Where streams are
+    large, rows meet the tables of streams by stream and span.
     """
-    kind, own = dict(appends.dtypes)["body"], appends.columns
+    own, by = appends.columns, ("stream_id",)
     big = scan.large(appends, "stream_id", "arrival", span)
-    rows = check(appends, streams, now, most)
+
+    def side(df: DataFrame) -> DataFrame:
+        return df if big is None else scan.spread(df, "stream_id", big)
+
+    rows = appends
+    if big is not None:
+        rows, by = scan.spanned(appends, "stream_id", "arrival", big), ("stream_id", "_span")
+    rows = check(rows, side(streams), now, most, by)
     good, seq = F.col("status") == "ok", F.nullif(F.col("seq"), F.lit(""))
     rows = scan.before(rows, "stream_id", "arrival", maxima={"_top": F.when(good, seq)}, span=span, streams=big)
     if last is not None:
-        rows = rows.join(last.select("stream_id", F.col("last_seq").alias("_last")), "stream_id", "left").withColumn("_top", F.greatest("_top", "_last"))
+        rows = rows.join(side(last.select("stream_id", F.col("last_seq").alias("_last"))), list(by), "left").withColumn("_top", F.greatest("_top", "_last"))
     late = good & seq.isNotNull() & F.coalesce(seq <= F.col("_top"), F.lit(False))
     rows = rows.withColumn("status", F.when(late, "conflict").otherwise(F.col("status")))
-    rows = scan.before(rows, "stream_id", "arrival", sums={"first": F.when(good, F.size(items(kind)).cast("long"))}, span=span, streams=big)
+    rows = scan.before(rows, "stream_id", "arrival", sums={"first": F.when(good, F.col("n"))}, span=span, streams=big)
     if tails is not None:
-        rows = rows.join(tails.select("stream_id", F.col("tail").alias("_tail")), "stream_id", "left").withColumn("first", F.col("first") + F.coalesce("_tail", F.lit(0)))
-    return rows.select(*own, "status", "json", F.when(good, F.col("first")).cast("long").alias("first"))
+        rows = rows.join(side(tails.select("stream_id", F.col("tail").alias("_tail"))), list(by), "left").withColumn("first", F.col("first") + F.coalesce("_tail", F.lit(0)))
+    return rows.select(*own, "status", "json", F.when(good, F.col("first")).cast("long").alias("first"), F.when(good, F.col("n")).alias("n"))
 
 
 def stored(decided_: DataFrame) -> DataFrame:
@@ -94,7 +112,7 @@ def append(appends: DataFrame, streams: DataFrame, now: Column, tails: DataFrame
     A JSON array becomes a message an element; its seq counts once, for the whole batch.
     """
     rows = decided(appends, streams, now, tails, last, most, span)
-    return rows.drop("first"), stored(rows)
+    return rows.drop("first", "n"), stored(rows)
 
 
 def from_files(spark: SparkSession, path: str, stream_id: str, content_type: str, seq: str | None = None) -> DataFrame:

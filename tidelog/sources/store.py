@@ -246,10 +246,9 @@ class LogStore:
         rows.write.parquet(f"{self.root}/results/{name}")
         rows = self.spark.read.schema(rows.schema).parquet(f"{self.root}/results/{name}")
         data = appending.stored(rows).join(live.select("stream_id", "epoch"), "stream_id")
-        count = F.size(appending.items("binary")).cast("long")
-        tops = rows.where("status = 'ok'").groupBy("stream_id").agg(F.max(F.col("first") + count).alias("_tail"), F.max(F.nullif(F.col("seq"), F.lit(""))).alias("_seq"))
+        tops = rows.where("status = 'ok'").groupBy("stream_id").agg(F.max(F.col("first") + F.col("n")).alias("_tail"), F.max(F.nullif(F.col("seq"), F.lit(""))).alias("_seq"))
         changed = live.join(tops, "stream_id").withColumns({"tail": F.col("_tail"), "last_seq": F.greatest("_seq", "last_seq")}).drop("_tail", "_seq")
-        return changed, data, {"results": name}, lambda: self._give(rows.select("stream_id", "arrival", "status", "first", count.alias("n")), name)
+        return changed, data, {"results": name}, lambda: self._give(rows.select("stream_id", "arrival", "status", "first", "n"), name)
 
     def append(self, appends: DataFrame, tag: str | None = None) -> Answers | None:
         """Appends a batch (stream_id, arrival, content_type, body, seq) and gives its rows with status, as stored; None if tag was committed before."""
